@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` evaluated once per row, also where the body is used inside another lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def longest_regular_run(positions: Column, tolerance: float = 0.15) -> Column:
     """Longest stretch of evenly spaced positions; a stretch follows the first gap it opened with."""
-    pts = F.array_sort(positions.cast("array<double>"))
+    return let(F.array_sort(positions.cast("array<double>")), lambda pts: _longest_run(pts, tolerance))
+
+
+def _longest_run(pts: Column, tolerance: float) -> Column:
     gaps = F.zip_with(F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))), F.slice(pts, 2, F.size(pts)), lambda a, b: b - a)
     # state: index of the current gap, start and base gap of the open run, start and length of the best closed run
     start = F.struct(
@@ -28,7 +38,7 @@ def longest_regular_run(positions: Column, tolerance: float = 0.15) -> Column:
         )
 
     run = F.aggregate(gaps, start, step, lambda acc: F.slice(pts, acc["bs"] + 1, acc["bl"] + 1))
-    return F.when(F.size(pts) < 3, positions.cast("array<double>")).otherwise(run)
+    return F.when(F.size(pts) < 3, pts).otherwise(run)
 
 
 def half_median(values: Column) -> Column:
@@ -58,14 +68,16 @@ def assign_rows(boxes: Column, level: str, tolerance: Column, descending: bool,
         lambda x: x["b"],
     )
     empty = F.slice(F.transform(boxes, lambda b: b.withField("fila", F.lit(0))), 1, 0)
-    start = F.struct(F.lit(0).alias("fila"), F.lit(None).cast("double").alias("anchor"), empty.alias("out"))
+    start = F.struct(
+        F.lit(0).alias("fila"), F.lit(None).cast("double").alias("anchor"), tolerance.cast("double").alias("tol"), empty.alias("out")
+    )
 
     def step(acc: Column, b: Column) -> Column:
         value = b[reference].cast("double")
-        joins = acc["anchor"].isNotNull() & (F.abs(value - acc["anchor"]) <= tolerance)
+        joins = acc["anchor"].isNotNull() & (F.abs(value - acc["anchor"]) <= acc["tol"])
         row = F.when(joins, acc["fila"]).otherwise(acc["fila"] + 1)
         return F.struct(
-            row.alias("fila"), F.when(joins, acc["anchor"]).otherwise(value).alias("anchor"),
+            row.alias("fila"), F.when(joins, acc["anchor"]).otherwise(value).alias("anchor"), acc["tol"].alias("tol"),
             F.concat(acc["out"], F.array(b.withField("fila", row))).alias("out"),
         )
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stampbook.functions.folds import let
 from stampbook.functions.numbers import words_to_number
 from stampbook.functions.text import eight_digit_numbers
 from stampbook.schemas import ANEXO, CERTIFICADO, PRINCIPAL
@@ -64,14 +65,15 @@ def compact_lines(lines: Column) -> Column:
 
 def nearest_label(candidates: Column, labels: Column, x_weight: float = X_WEIGHT) -> Column:
     """The candidate closest to any label by ``|dy| + x_weight·|dx|``; the first candidate when there is no label."""
-    def distance(c: Column) -> Column:
-        return F.coalesce(
-            F.array_min(F.transform(labels, lambda e: F.abs(e["cy"] - c["cy"]) + F.abs(e["cx"] - c["cx"]) * x_weight)),
-            F.lit(9e9),
-        )
+    def pick(both: Column) -> Column:
+        def distance(c: Column) -> Column:
+            away = F.transform(both["e"], lambda e: F.abs(e["cy"] - c["cy"]) + F.abs(e["cx"] - c["cx"]) * x_weight)
+            return F.coalesce(F.array_min(away), F.lit(9e9))
+
+        best = F.array_min(F.transform(both["c"], lambda c, k: F.struct(distance(c).alias("d"), k.alias("k"))))
+        return F.try_element_at(both["c"], best["k"] + 1)
 
-    best = F.array_min(F.transform(candidates, lambda c, k: F.struct(distance(c).alias("d"), k.alias("k"))))
-    return F.try_element_at(candidates, best["k"] + 1)
+    return let(F.struct(candidates.alias("c"), labels.alias("e")), pick)
 
 
 def extract_fields(pages: DataFrame, lines: str = "lineas", height: str = "alto", excluded: str | None = None) -> DataFrame:
@@ -168,8 +170,7 @@ def citations_in(text: Column) -> Column:
     end = F.position(F.lit(CITATION_END), text, F.greatest(start, F.lit(1)))
     length = F.when(end > start, end - start).otherwise(F.lit(CITATION_WINDOW))
     block = F.substring(text, start, length)
-    column = F.instr(block, CITATION_COLUMN)
-    rows = F.when(column > 0, F.substring(block, column, F.length(block))).otherwise(block)
+    rows = F.regexp_replace(block, f"(?s)^.*?(?={CITATION_COLUMN})", "")
 
     def group(g: int) -> Column:
         return F.regexp_extract_all(rows, F.lit(RE_CITATION), F.lit(g))
@@ -182,10 +183,10 @@ def citations_in(text: Column) -> Column:
         ),
         lambda z: z["numero"].rlike("[0-9]"),
     )
-    once = F.filter(
-        listed,
-        lambda z, i: ~F.exists(F.slice(listed, F.lit(1), i), lambda y: (y["cod"] == z["cod"]) & (y["numero"] == z["numero"])),
-    )
+    def seen(earlier: Column, z: Column) -> Column:
+        return F.exists(earlier, lambda y: (y["cod"] == z["cod"]) & (y["numero"] == z["numero"]))
+
+    once = let(listed, lambda a: F.filter(a, lambda z, i: ~seen(F.slice(a, F.lit(1), i), z)))
     return F.when(start > 0, once).otherwise(F.array().cast("array<struct<cod:string,numero:string,fecha:string>>"))
 
 
