@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stampbook.functions.folds import let
 from stampbook.operators.filters import MARK_FACETS, facets, visible
 from stampbook.operators.ordering import Key, ranked, top_n
 
@@ -21,11 +22,17 @@ BACKFILL_ROWS = 250
 
 def unit(v: Column) -> Column:
     """Centred vector of length one; a constant vector becomes all zeros."""
-    x = F.transform(v, lambda e: e.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda a, e: a + e) / F.size(x)
-    centred = F.transform(x, lambda e: e - mean)
-    norm = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda a, e: a + e * e))
-    return F.transform(centred, lambda e: F.when(norm > 0, e / norm).otherwise(0.0))
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda a, e: a + e)
+
+    def centre(x: Column) -> Column:
+        return let(total(x) / F.size(x), lambda mean: F.transform(x, lambda e: e - mean))
+
+    def scale(x: Column) -> Column:
+        norm = F.sqrt(total(F.transform(x, lambda e: e * e)))
+        return let(norm, lambda n: F.transform(x, lambda e: F.when(n > 0, e / n).otherwise(0.0)))
+
+    return let(let(F.transform(v, lambda e: e.cast("double")), centre), scale)
 
 
 def aspect_of(byte: Column) -> Column:
@@ -46,17 +53,16 @@ def fingerprint_vectors(df: DataFrame, key: str = "id", column: str = "huella")
     return stored.mapInPandas(decode, f"{key} {kind}, aspect double, v array<float>")
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    m -= m.mean(axis=1, keepdims=True)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
 def _one_pass(asked: list, corpus: DataFrame, k: int, id_type: str, query_type: str) -> DataFrame:
     """Best ``k`` of the corpus for a bounded list of queries; every task forwards at most ``k`` rows per query."""
+    def unit_rows(vectors) -> np.ndarray:
+        m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+        m -= m.mean(axis=1, keepdims=True)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
     names = [r["consulta"] for r in asked]
-    q = _unit_rows([r["v"] for r in asked])
+    q = unit_rows([r["v"] for r in asked])
     q_aspect = np.array([r["aspect"] for r in asked], dtype=np.float64)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,7 +72,7 @@ def _one_pass(asked: list, corpus: DataFrame, k: int, id_type: str, query_type:
                 continue
             ids, aspect = b["id"].to_numpy(), b["aspect"].to_numpy(dtype=np.float64)
             ratio = np.minimum(aspect[:, None], q_aspect) / np.maximum(aspect[:, None], q_aspect)
-            s = np.clip(_unit_rows(b["v"]) @ q.T, 0.0, 1.0) * (0.75 + 0.25 * ratio) * 100.0
+            s = np.clip(unit_rows(b["v"]) @ q.T, 0.0, 1.0) * (0.75 + 0.25 * ratio) * 100.0
             s = np.round(s, 9)
             for j in range(len(names)):
                 if len(ids) > k:

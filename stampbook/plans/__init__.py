@@ -5,7 +5,7 @@ from importlib import import_module
 
 def load():
     """(queries by name, SQL checks by name)."""
-    for module in ("catalogue", "pages"):
+    for module in ("catalogue", "pages", "changes"):
         import_module(f"stampbook.plans.{module}")
     from stampbook.plans.registry import CHECKS, QUERIES
 

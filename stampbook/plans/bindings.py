@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LINE = (
     "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-',"
-    " CAST(l_suppkey AS STRING))"
+    " CAST(l_suppkey AS STRING), '-', CAST(CAST(l_quantity AS BIGINT) AS STRING))"
 )
 _GUIDE = "CAST(90000000 + (o_orderkey - o_orderkey % 2) * 125 AS STRING)"
 _PAGE_GUIDE = "CAST(90000000 + CAST(floor(doc_id / 4) AS BIGINT) * 250 AS STRING)"

@@ -42,12 +42,24 @@ PAGE_SIZES = {
     "exportar": 1000,
 }
 
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "date": T.DateType(),
+    "points": T.ArrayType(T.ArrayType(T.DoubleType())),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """Schema from "name type, name type"; needs no running session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(","))])
+
+
 # --- tables -----------------------------------------------------------------------------------
-PROPIETARIOS = T.StructType.fromDDL(
+PROPIETARIOS = _struct(
     "id bigint, nombre string, documento string, establecimiento string, establecimiento_codigo string,"
     " localidad string, departamento string, telefono string, activo boolean, creado_en timestamp"
 )
-OPERACIONES = T.StructType.fromDDL(
+OPERACIONES = _struct(
     "id bigint, numero_guia string, fecha string, vendedor_nombre string, vendedor_documento string,"
     " vendedor_establecimiento string, vendedor_establecimiento_codigo string, comprador_nombre string,"
     " comprador_documento string, cantidad_animales int, categoria_animales string,"
@@ -55,7 +67,7 @@ OPERACIONES = T.StructType.fromDDL(
     " origen string, origen_id bigint, creado_por string, creado_en timestamp, tipo_operacion string,"
     " activo boolean, monto_total bigint"
 )
-MARCAS = T.StructType.fromDDL(
+MARCAS = _struct(
     "id bigint, codigo string, descripcion string, propietario_id bigint, operacion_id bigint, tipo string,"
     " posicion string, numero_guia string, origen_archivo string, archivo_png binary, archivo_svg binary,"
     " sospechosa_calidad boolean, motivo_calidad string, estado string, observaciones string,"
@@ -63,9 +75,9 @@ MARCAS = T.StructType.fromDDL(
     " activo boolean, escaneo_id bigint, huella binary, origen_carpeta string, origen_pagina string,"
     " origen_etiqueta string"
 )
-OCR_LINE = T.StructType.fromDDL("texto string, caja array<array<double>>, conf double")
-CITATION = T.StructType.fromDDL("cod string, numero string, fecha string")
-PAGINAS = T.StructType.fromDDL(
+OCR_LINE = _struct("texto string, caja points, conf double")
+CITATION = _struct("cod string, numero string, fecha string")
+PAGINAS = _struct(
     "carpeta string, archivo string, orden int, formato string, numero_guia string, fuente_numero string,"
     " conf_numero double, numero_certificado string, propietario string, propietario_documento string,"
     " establecimiento string, cantidad_animales int, fecha_texto string, n_marcas int, texto_ocr string,"
