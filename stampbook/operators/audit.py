@@ -66,27 +66,25 @@ def quality_flags(features: DataFrame) -> DataFrame:
     return features.withColumn("observaciones", observed).withColumn("revisar", F.size("observaciones") > 0)
 
 
-def near_between(left: DataFrame, right: DataFrame) -> DataFrame:
+def near_between(left: DataFrame, right: DataFrame, block: int = 0) -> DataFrame:
     """Pairs ``(n, m)`` of near-equal texts from two one-column frames (first column of each; values made distinct).
 
     Texts that differ in one place share exactly one "wildcard" key, and an exchange of neighbours is matched by looking
     up the exchanged text itself, so one equi-join finds all pairs and every joined pair is a result: a key is shared by
-    no more texts than there are characters for its open place.
+    no more texts than there are characters for its open place. The first ``block`` characters have to agree, so no key
+    opens a place among them.
     """
+    def places(last: Column) -> Column:
+        return F.when(last > block, F.sequence(F.lit(block + 1), last)).otherwise(F.array().cast("array<int>"))
+
     def wildcards(c: Column) -> Column:
         n = F.length(c)
-        return F.when(
-            n > 0,
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.lit("\u0001"), F.substring(c, i + 1, n)),
-            ),
+        return F.transform(
+            places(n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.lit("\u0001"), F.substring(c, i + 1, n))
         )
 
     def swaps(c: Column) -> Column:
-        n = F.length(c)
-        made = F.transform(F.sequence(F.lit(1), n - 1), lambda i: swapped_at(c, i))
-        return F.when(n > 1, F.filter(made, lambda s: s != c)).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.transform(places(F.length(c) - 1), lambda i: swapped_at(c, i)), lambda s: s != c)
 
     a = left.select(F.col(left.columns[0]).alias("n")).where(F.col("n").isNotNull()).distinct()
     b = right.select(F.col(right.columns[0]).alias("m")).where(F.col("m").isNotNull()).distinct()
@@ -98,10 +96,7 @@ def near_between(left: DataFrame, right: DataFrame) -> DataFrame:
 def near_pairs(df: DataFrame, column: str, block: int | None = None) -> DataFrame:
     """Near-equal pairs inside one column, in both directions; ``block`` keeps pairs with that many equal first characters."""
     numbers = df.select(column)
-    pairs = near_between(numbers, numbers)
-    if block:
-        pairs = pairs.where(F.substring("n", 1, block) == F.substring("m", 1, block))
-    return pairs
+    return near_between(numbers, numbers, block or 0)
 
 
 def cited_numbers(pages: DataFrame, excluded: str | None = None) -> DataFrame:

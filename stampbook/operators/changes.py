@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stampbook.operators.aggregates import action_counts
 from stampbook.operators.filters import no_mark_reason
-from stampbook.operators.ordering import ranked, scan
+from stampbook.operators.ordering import all_small, ranked, scan
 from stampbook.operators.relations import deletion_plan, match_files
 from stampbook.schemas import PREFIJO_NO_MARCA
 
@@ -131,10 +131,11 @@ def resolve_owners(cur: DataFrame, inc: DataFrame, hot_rows: int | None = None)
     blank = rows.where(F.col("documento").isNull()).select("row", "nombre", "documento")
     events = first_of_doc.unionByName(blank).join(free, "nombre", "left")
     has_doc = F.col("documento").isNotNull()
-    stepped = scan(events, ["nombre"], ["row"], {"_before": ("lag", has_doc)}, hot_rows)
+    small = all_small(inc, ["nombre"], hot_rows)
+    stepped = scan(events, ["nombre"], ["row"], {"_before": ("lag", has_doc)}, hot_rows, small)
     available = F.when(F.col("_before").isNull(), F.col("_free").isNotNull()).otherwise(~F.col("_before"))
     made = stepped.withColumn("_made", F.when(~available, F.concat(F.lit("row:"), F.col("row").cast("string"))))
-    owned = scan(made, ["nombre"], ["row"], {"_owner": ("last", F.col("_made"))}, hot_rows).select(
+    owned = scan(made, ["nombre"], ["row"], {"_owner": ("last", F.col("_made"))}, hot_rows, small).select(
         "row", "documento", F.coalesce("_owner", "_free").alias("owner")
     )
     doc_owner = (

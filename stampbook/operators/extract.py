@@ -49,6 +49,11 @@ def _first(array: Column) -> Column:
     return F.try_element_at(array, F.lit(1))
 
 
+def _known(value: Column) -> Column:
+    """The value as an array of one, empty when it is null."""
+    return F.array_compact(F.array(value))
+
+
 def compact_lines(lines: Column) -> Column:
     """OCR lines with their centre, and their text without spaces in upper case."""
     def centre(line: Column, axis: int) -> Column:
@@ -113,11 +118,9 @@ def extract_fields(pages: DataFrame, lines: str = "lineas", height: str = "alto"
     certificate_pick = F.coalesce(
         _first(picked(overleaf, F.lit("certificado:anverso"))),
         _first(picked(same_line, F.lit("certificado:linea"))),
-        F.when(near.isNotNull(), _first(picked(F.array(near), F.lit("certificado:cercano"), NEAREST_FACTOR))),
-    )
-    guide_pick = F.when(
-        by_label.isNotNull(), _first(picked(F.array(by_label), F.concat(F.lower("formato"), F.lit(":orden"))))
+        _first(picked(_known(near), F.lit("certificado:cercano"), NEAREST_FACTOR)),
     )
+    guide_pick = _first(picked(_known(by_label), F.concat(F.lower("formato"), F.lit(":orden"))))
     owner_line = _first(F.filter("_l", lambda l: l["t"].rlike(RE_OWNER)))
     base = base.withColumns({"_pick": F.when(is_cert, certificate_pick).when(is_guide, guide_pick), "_own": owner_line})
     names = F.filter(
@@ -172,14 +175,14 @@ def citations_in(text: Column) -> Column:
     block = F.substring(text, start, length)
     rows = F.regexp_replace(block, f"(?s)^.*?(?={CITATION_COLUMN})", "")
 
-    def group(g: int) -> Column:
-        return F.regexp_extract_all(rows, F.lit(RE_CITATION), F.lit(g))
-
-    zipped = F.arrays_zip(group(1).alias("cod"), group(2).alias("numero"), group(3).alias("fecha"))
+    found = F.regexp_extract_all(rows, F.lit(RE_CITATION), F.lit(0))
     listed = F.filter(
         F.transform(
-            zipped,
-            lambda z: F.struct(z["cod"].alias("cod"), z["numero"].alias("numero"), F.nullif(z["fecha"], F.lit("")).alias("fecha")),
+            found,
+            lambda m: F.struct(
+                F.substring(m, 2, 1).alias("cod"), F.regexp_extract(m, RE_CITATION, 2).alias("numero"),
+                _found(m, RE_CITATION, 3).alias("fecha"),
+            ),
         ),
         lambda z: z["numero"].rlike("[0-9]"),
     )

@@ -80,6 +80,15 @@ def _hot_limit(df: DataFrame, hot_rows: int | None) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
+def all_small(df: DataFrame, keys, hot_rows: int | None = None) -> bool:
+    """True when no group of ``df`` exceeds the hot limit: one column-pruned count, combined before its shuffle.
+
+    Operators ask it once of their widest input and pass the answer to every ``scan`` over groups that cannot be larger.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return (sizes.agg(F.max("_n")).first()[0] or 0) <= _hot_limit(df, hot_rows)
+
+
 def _with_pieces(df: DataFrame, keys: list[str], order: list[Key], hot_rows: int | None) -> DataFrame | None:
     """``df`` plus ``_piece`` (-1 for groups left whole), or None when no group is hot.
 
@@ -161,7 +170,7 @@ def _local(kind: str, c: Column | None, w) -> Column:
     raise ValueError(f"unknown scan kind {kind!r}")
 
 
-def scan(df: DataFrame, keys, order, outputs: dict, hot_rows: int | None = None) -> DataFrame:
+def scan(df: DataFrame, keys, order, outputs: dict, hot_rows: int | None = None, small: bool = False) -> DataFrame:
     """Add ordered-group columns: ``outputs`` maps a new name to ``(kind, column)``.
 
     Kinds: row_number, sum and max (running, inclusive), last and last_before (last non-null value through / before the
@@ -171,7 +180,7 @@ def scan(df: DataFrame, keys, order, outputs: dict, hot_rows: int | None = None)
     added = []
     if not keys:
         df, keys, added = df.withColumn("_all", F.lit(0)), ["_all"], ["_all"]
-    pieces = _with_pieces(df, keys, order, hot_rows)
+    pieces = None if small else _with_pieces(df, keys, order, hot_rows)
     if pieces is None:
         w = Window.partitionBy(*keys).orderBy(*sorts(order))
         return df.select("*", *[_local(k, c, w).alias(n) for n, (k, c) in outputs.items()]).drop(*added)
@@ -220,9 +229,11 @@ def scan(df: DataFrame, keys, order, outputs: dict, hot_rows: int | None = None)
     return joined.select(*[c for c in df.columns if c not in added], *out)
 
 
-def ranked(df: DataFrame, keys, order, name: str = "posicion_n", hot_rows: int | None = None) -> DataFrame:
+def ranked(
+    df: DataFrame, keys, order, name: str = "posicion_n", hot_rows: int | None = None, small: bool = False
+) -> DataFrame:
     """Row number inside each group (or over the whole frame when ``keys`` is empty)."""
-    return scan(df, keys, order, {name: ("row_number", None)}, hot_rows)
+    return scan(df, keys, order, {name: ("row_number", None)}, hot_rows, small)
 
 
 def top_n(df: DataFrame, keys, order, n: int, name: str = "rn") -> DataFrame:

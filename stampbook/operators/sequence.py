@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stampbook.functions.folds import assign_rows, half_median, half_true_median, longest_regular_run
-from stampbook.operators.ordering import Key, ranked, scan
+from stampbook.operators.ordering import Key, all_small, ranked, scan
 from stampbook.schemas import ANEXO, COPIAS, PRINCIPAL
 
 
@@ -19,13 +19,14 @@ def infer_numbers(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     n = F.nullif(F.col("numero_guia"), F.lit(""))
     order = [Key("orden"), Key("archivo")]
+    small = all_small(pages, ["carpeta"], hot_rows)
     first = scan(
         pages.withColumn("_n", n), ["carpeta"], order,
         {
             "_row": ("row_number", None), "_cand": ("last_before", F.col("_n")),
             "_fmt": ("lag", F.col("formato")), "_next": ("lead", F.col("_n")),
         },
-        hot_rows,
+        hot_rows, small,
     )
     annex = F.coalesce((F.col("formato") == ANEXO) & F.col("_fmt").isin(PRINCIPAL, ANEXO), F.lit(False))
     agree = F.coalesce(F.col("_cand") == F.col("_next"), F.lit(False))
@@ -36,7 +37,7 @@ def infer_numbers(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
             "_given": ("max", F.when(F.col("_n").isNotNull(), F.col("_row"))),
             "_broken": ("max", F.when(F.col("_n").isNull() & ~F.col("_link"), F.col("_row"))),
         },
-        hot_rows,
+        hot_rows, small,
     )
     filled = (
         F.col("_n").isNull() & F.col("_given").isNotNull()
@@ -61,6 +62,7 @@ def neighbours(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
     linked = scan(
         places.where(F.col("orden").isNotNull()), ["carpeta"], ["orden"],
         {"anterior_id": ("lag", F.col("_hi")), "siguiente_id": ("lead", F.col("_lo"))}, hot_rows,
+        all_small(pages, ["carpeta"], hot_rows),
     ).drop("_hi", "_lo")
     return pages.join(linked, ["carpeta", "orden"], "left")
 
@@ -72,9 +74,10 @@ def gap_clusters(df: DataFrame, keys, value: str, tolerance: float, hot_rows: in
     """
     keys = list(keys)
     points = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    stepped = scan(points, keys, ["_v"], {"_prev": ("lag", F.col("_v"))}, hot_rows)
+    small = all_small(df, keys, hot_rows)
+    stepped = scan(points, keys, ["_v"], {"_prev": ("lag", F.col("_v"))}, hot_rows, small)
     opens = F.when(F.col("_v") - F.col("_prev") > tolerance, 1).otherwise(0)
-    numbered = scan(stepped, keys, ["_v"], {"grupo": ("sum", opens)}, hot_rows)
+    numbered = scan(stepped, keys, ["_v"], {"grupo": ("sum", opens)}, hot_rows, small)
     return numbered.groupBy(*keys, "grupo").agg(
         (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("media"), F.sum("_w").alias("valores")
     )
@@ -172,8 +175,9 @@ def allocate(items: DataFrame, slots: DataFrame, hot_rows: int | None = None) ->
     ``items`` (doc, item, pos); ``slots`` (doc, copia, orden, slot, ocupada). A slot's index counts the capacity of the
     sheets before it plus its rank among the free slots of its own sheet, so placing is an equi-join on the index.
     """
-    sheets = scan(sheet_capacity(slots), ["doc"], ["orden"], {"_upto": ("sum", F.col("cupo"))}, hot_rows)
-    free = ranked(slots.where(~F.col("ocupada")), ["doc", "copia", "orden"], ["slot"], "_rn", hot_rows)
+    small = all_small(slots, ["doc"], hot_rows)
+    sheets = scan(sheet_capacity(slots), ["doc"], ["orden"], {"_upto": ("sum", F.col("cupo"))}, hot_rows, small)
+    free = ranked(slots.where(~F.col("ocupada")), ["doc", "copia", "orden"], ["slot"], "_rn", hot_rows, small)
     places = (
         free.join(sheets, ["doc", "orden"], "inner").where(F.col("_rn") <= F.col("cupo"))
         .withColumn("_index", F.col("_upto") - F.col("cupo") + F.col("_rn"))
