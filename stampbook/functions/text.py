@@ -52,8 +52,15 @@ def slug(c: Column, default: str = "HOJA") -> Column:
 
 def eight_digit_numbers(c: Column, excluded: str | None = None) -> Column:
     """Numbers of exactly eight digits, in reading order, without one excluded id."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<!\d)\d{8}(?!\d)"), F.lit(0))
-    return F.filter(found, lambda n: n != F.lit(excluded)) if excluded else found
+    runs = F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
+    return F.filter(runs, lambda n: (F.length(n) == 8) & (n != F.lit(excluded or "")))
+
+
+WHITESPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def without_spaces(c: Column) -> Column:
+    return F.regexp_replace(c, WHITESPACE, "")
 
 
 # fixed values: characters an OCR reads in place of a digit

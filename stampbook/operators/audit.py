@@ -154,7 +154,15 @@ def audit_pages(pages: DataFrame, excluded: str | None = None, prefixes: tuple =
     )
     eight = F.col("numero_guia").rlike(r"^\d{8}$")
     prefix = F.substring("numero_guia", 1, 2)
-    printed = F.array_sort(F.array_distinct(F.regexp_extract_all("texto_ocr", F.lit(r"GE2\s*(\d{8})"), F.lit(1))))
+    printed = F.col("_printed")
+    # what the text says is read before the join, so the text itself is not shuffled
+    read = F.when(
+        F.col("formato") == PRINCIPAL,
+        F.array_sort(F.array_distinct(F.regexp_extract_all("texto_ocr", F.lit(r"GE2\s*(\d{8})"), F.lit(1)))),
+    )
+    slim = numbered.select(
+        "carpeta", "archivo", "formato", "numero_guia", "fuente_numero", "conf_numero", "propietario", "imagen", read.alias("_printed")
+    )
     conf = F.col("conf_numero")
     reasons = F.array(
         F.when(~eight, "no tiene 8 dígitos").when(~prefix.isin(*prefixes), F.concat(F.lit("prefijo raro ("), prefix, F.lit(")"))),
@@ -163,12 +171,12 @@ def audit_pages(pages: DataFrame, excluded: str | None = None, prefixes: tuple =
         F.when((conf > 0) & (conf < LOW_CONFIDENCE), F.format_string("lectura poco segura (%.2f)", conf)),
         F.when(F.coalesce(conf, F.lit(0.0)) < NEAR_CONFIDENCE, F.concat(F.lit("casi igual a "), F.col("_near"))),
         F.when(
-            (F.col("formato") == PRINCIPAL) & (F.size(printed) > 0) & ~F.array_contains(printed, F.col("numero_guia")),
+            (F.size(printed) > 0) & ~F.array_contains(printed, F.col("numero_guia")),
             F.concat(F.lit("el «GE2…» impreso dice "), F.array_join(printed, "/")),
         ),
     )
     judged = (
-        numbered.join(facts, "numero_guia", "left").withColumn("motivos", F.array_join(F.array_compact(reasons), "; "))
+        slim.join(facts, "numero_guia", "left").withColumn("motivos", F.array_join(F.array_compact(reasons), "; "))
         .where(F.col("motivos") != "").withColumns(common)
     )
     missing = uncovered_citations(pages, excluded)
@@ -266,7 +274,7 @@ def cited_marks(cited: DataFrame, marks: DataFrame, pages: DataFrame, ops: DataF
         wanted = parents.select(F.col("id").alias(column), "numero_guia").join(numbers, "numero_guia", "left_semi")
         return m.join(wanted, column, "inner").select("numero_guia", "id", "codigo", "tipo", "estado")
 
-    reached = through(pages, "escaneo_id").unionByName(through(ops, "operacion_id")).dropDuplicates(["numero_guia", "id"])
+    reached = through(pages, "escaneo_id").unionByName(through(ops, "operacion_id")).distinct()
     ranked = reached.withColumn("_d", F.when(F.col("tipo") == "dominante", 0).otherwise(1))
     return top_n(ranked, ["numero_guia"], [Key("_d"), Key("codigo")], n, "posicion").drop("_d")
 

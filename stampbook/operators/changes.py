@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stampbook.operators.aggregates import action_counts
 from stampbook.operators.filters import no_mark_reason
-from stampbook.operators.ordering import all_small, ranked, scan
+from stampbook.operators.ordering import all_small, ranked, scan, split
 from stampbook.operators.relations import deletion_plan, match_files
 from stampbook.schemas import PREFIJO_NO_MARCA
 
@@ -131,7 +131,7 @@ def resolve_owners(cur: DataFrame, inc: DataFrame, hot_rows: int | None = None)
     blank = rows.where(F.col("documento").isNull()).select("row", "nombre", "documento")
     events = first_of_doc.unionByName(blank).join(free, "nombre", "left")
     has_doc = F.col("documento").isNotNull()
-    small = all_small(inc, ["nombre"], hot_rows)
+    events, small = split(events, ["nombre"], ["row"], hot_rows, all_small(inc, ["nombre"], hot_rows))
     stepped = scan(events, ["nombre"], ["row"], {"_before": ("lag", has_doc)}, hot_rows, small)
     available = F.when(F.col("_before").isNull(), F.col("_free").isNotNull()).otherwise(~F.col("_before"))
     made = stepped.withColumn("_made", F.when(~available, F.concat(F.lit("row:"), F.col("row").cast("string"))))
@@ -335,6 +335,12 @@ def delete_operations(
     return result
 
 
+def delete_marks(ids: DataFrame, marks: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Remove marks for good, their image history with them."""
+    gone = ids.select("id").distinct()
+    return marks.join(gone, "id", "left_anti"), versions.join(gone.select(F.col("id").alias("marca_id")), "marca_id", "left_anti")
+
+
 IMAGE_COLUMNS = ["archivo_png", "archivo_svg"]
 
 

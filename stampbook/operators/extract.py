@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stampbook.functions.folds import let
 from stampbook.functions.numbers import words_to_number
-from stampbook.functions.text import eight_digit_numbers
+from stampbook.functions.text import eight_digit_numbers, without_spaces
 from stampbook.schemas import ANEXO, CERTIFICADO, PRINCIPAL
 
 # --- fixed values: reading rules of the official forms ----------------------------------------
@@ -62,7 +62,7 @@ def compact_lines(lines: Column) -> Column:
     return F.transform(
         lines,
         lambda l, i: F.struct(
-            i.alias("i"), l["texto"].alias("texto"), F.upper(F.regexp_replace(l["texto"], r"\s+", "")).alias("t"),
+            i.alias("i"), l["texto"].alias("texto"), F.upper(without_spaces(l["texto"])).alias("t"),
             centre(l, 0).alias("cx"), centre(l, 1).alias("cy"), l["conf"].cast("double").alias("conf"),
         ),
     )

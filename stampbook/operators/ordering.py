@@ -143,6 +143,12 @@ def _with_pieces(df: DataFrame, keys: list[str], order: list[Key], hot_rows: int
     return tagged.withColumn("_piece", F.when(F.col("_coarse").isNull(), -1).otherwise(piece)).drop("_coarse", "_fine")
 
 
+def split(df: DataFrame, keys, order, hot_rows: int | None = None, small: bool = False) -> tuple[DataFrame, bool]:
+    """(frame, small) for several scans over the same groups: hot groups are cut once and every scan reuses ``_piece``."""
+    pieces = None if small else _with_pieces(df, list(keys), keys_of(order), hot_rows)
+    return (df, True) if pieces is None else (pieces, False)
+
+
 def _field_sort(k: Key, i: int) -> Column:
     c = F.col("_v")[f"c{i}"]
     if k.desc:
@@ -180,7 +186,10 @@ def scan(df: DataFrame, keys, order, outputs: dict, hot_rows: int | None = None,
     added = []
     if not keys:
         df, keys, added = df.withColumn("_all", F.lit(0)), ["_all"], ["_all"]
-    pieces = None if small else _with_pieces(df, keys, order, hot_rows)
+    if "_piece" in df.columns:
+        pieces = df
+    else:
+        pieces = None if small else _with_pieces(df, keys, order, hot_rows)
     if pieces is None:
         w = Window.partitionBy(*keys).orderBy(*sorts(order))
         return df.select("*", *[_local(k, c, w).alias(n) for n, (k, c) in outputs.items()]).drop(*added)
@@ -242,6 +251,21 @@ def top_n(df: DataFrame, keys, order, n: int, name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
+NULL_SPREAD = 64
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join on ``key`` whose missing keys do not pile up in one partition.
+
+    A missing key can match nothing, so those rows carry one of ``NULL_SPREAD`` salts derived from ``spread_by``; all
+    others keep salt 0. The right side repeats salt 0 from its key column, which keeps the salt part of the shuffle key.
+    """
+    salt = F.when(left[key].isNull(), F.pmod(F.xxhash64(left[spread_by]), F.lit(NULL_SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
+    zero = F.when(right[key].isNotNull(), F.lit(0).cast("long")).otherwise(F.lit(-1).cast("long"))
+    salted = left.withColumn("_salt", salt)
+    return salted.join(right.withColumn("_salt", zero), [key, "_salt"], "left").drop("_salt")
+
+
 def packed(df: DataFrame, keys, order, item: Column, size: int, name: str) -> DataFrame:
     """Ordered nested lists of at most ``size`` items; a longer group continues on further rows (``parte``)."""
     keys = list(keys)

@@ -11,7 +11,7 @@ from stampbook.operators.filters import (
     MARK_FACETS, OPERATION_FACETS, archive_search, between_days, by_keys, contains_text, facets, operation_status,
     reason_prefix, text_search, visible,
 )
-from stampbook.operators.ordering import Key, ranked
+from stampbook.operators.ordering import Key, lookup, ranked
 from stampbook.operators.paging import Page, paginate
 from stampbook.schemas import PAGE_SIZES
 
@@ -20,7 +20,7 @@ def with_relations(marks: DataFrame, owners: DataFrame, ops: DataFrame) -> DataF
     """Marks with ``propietarios`` and ``operaciones`` nested as a struct, null when there is no relation."""
     p = owners.select(F.col("id").alias("propietario_id"), F.struct("nombre", "documento").alias("propietarios"))
     o = ops.select(F.col("id").alias("operacion_id"), F.struct("numero_guia", "fecha").alias("operaciones"))
-    return marks.join(p, "propietario_id", "left").join(o, "operacion_id", "left")
+    return lookup(lookup(marks, p, "propietario_id", "codigo"), o, "operacion_id", "codigo")
 
 
 def search_marks(
@@ -44,7 +44,7 @@ def search_marks(
         return joined.where(contains_text(text, cols))
     numbers = pages.select(F.col("id").alias("escaneo_id"), F.col("numero_guia").alias("_numero_pagina"))
     return (
-        joined.join(numbers, "escaneo_id", "left")
+        lookup(joined, numbers, "escaneo_id", "codigo")
         .where(contains_text(text, cols + ["origen_etiqueta", "_numero_pagina"]))
         .drop("_numero_pagina")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stampbook.functions.folds import assign_rows, half_median, half_true_median, longest_regular_run
-from stampbook.operators.ordering import Key, all_small, ranked, scan
+from stampbook.operators.ordering import Key, all_small, ranked, scan, split
 from stampbook.schemas import ANEXO, COPIAS, PRINCIPAL
 
 
@@ -19,9 +19,9 @@ def infer_numbers(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     n = F.nullif(F.col("numero_guia"), F.lit(""))
     order = [Key("orden"), Key("archivo")]
-    small = all_small(pages, ["carpeta"], hot_rows)
+    cut, small = split(pages.withColumn("_n", n), ["carpeta"], order, hot_rows)
     first = scan(
-        pages.withColumn("_n", n), ["carpeta"], order,
+        cut, ["carpeta"], order,
         {
             "_row": ("row_number", None), "_cand": ("last_before", F.col("_n")),
             "_fmt": ("lag", F.col("formato")), "_next": ("lead", F.col("_n")),
@@ -74,7 +74,7 @@ def gap_clusters(df: DataFrame, keys, value: str, tolerance: float, hot_rows: in
     """
     keys = list(keys)
     points = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    small = all_small(df, keys, hot_rows)
+    points, small = split(points, keys, ["_v"], hot_rows, all_small(df, keys, hot_rows))
     stepped = scan(points, keys, ["_v"], {"_prev": ("lag", F.col("_v"))}, hot_rows, small)
     opens = F.when(F.col("_v") - F.col("_prev") > tolerance, 1).otherwise(0)
     numbered = scan(stepped, keys, ["_v"], {"grupo": ("sum", opens)}, hot_rows, small)

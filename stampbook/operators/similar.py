@@ -18,6 +18,8 @@ from stampbook.operators.ordering import Key, ranked, top_n
 TOP = 24
 QUERIES_PER_PASS = 256
 BACKFILL_ROWS = 250
+BROADCAST_QUERIES = 1_000  # times k winners, a few thousand narrow rows
+BROADCAST_ROWS = 10_000
 
 
 def unit(v: Column) -> Column:
@@ -117,21 +119,23 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def search_similar(
-    queries: DataFrame, marks: DataFrame, vectors: DataFrame, owners: DataFrame, tipo: str | None = None,
-    include_retired: bool = False, k: int = TOP,
+    queries: DataFrame, marks: DataFrame, owners: DataFrame, tipo: str | None = None, include_retired: bool = False, k: int = TOP
 ) -> DataFrame:
     """Visible marks most similar to each query, with code, type, state and owner name.
 
-    ``vectors`` (id, aspect, v) holds the fingerprints of the marks that have one.
+    ``marks`` carries its fingerprint as ``aspect`` and ``v`` (null without one), so vectors are filtered and compared
+    where they are stored; only the few winners are joined with their details.
     """
-    shown = facets(visible(marks), MARK_FACETS, tipo=tipo)
+    shown = facets(visible(marks), MARK_FACETS, tipo=tipo).where(F.col("v").isNotNull())
     if not include_retired:
         shown = shown.where(F.col("estado") != "baja")
-    corpus = vectors.join(shown.select("id"), "id", "left_semi")
     people = owners.select(F.col("id").alias("propietario_id"), F.col("nombre").alias("propietario"))
     details = marks.select("id", "codigo", "tipo", "estado", "propietario_id")
+    won = similar(queries, shown, k)
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        won = F.broadcast(won)
     return (
-        similar(queries, corpus, k).join(details, "id", "inner").join(people, "propietario_id", "left")
+        details.join(won, "id", "inner").join(people, "propietario_id", "left")
         .select("consulta", "rn", "id", "codigo", "tipo", "estado", "propietario", "puntaje")
     )
 
@@ -159,5 +163,7 @@ def backfill(
         .when(pending(signature, source), "pendiente").otherwise("sin_cambio")
     )
     value = F.when(F.col("_try"), F.coalesce(F.col("_new"), blank)).otherwise(F.col(signature))
+    if limit and limit <= BROADCAST_ROWS:
+        made = F.broadcast(made)
     joined = df.join(made, key, "left").withColumn("accion", action)
     return joined.withColumn(signature, value).drop("_new", "_try")

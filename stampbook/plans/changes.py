@@ -436,8 +436,9 @@ def _(t):
     marks = h.selectExpr(
         "id", "concat('M-', CAST(id AS STRING)) AS codigo", "CASE WHEN id % 2 = 0 THEN 'dominante' ELSE 'complementaria' END AS tipo",
         "CASE id % 3 WHEN 0 THEN 'activa' WHEN 1 THEN 'revisar' ELSE 'baja' END AS estado", "id % 50 AS propietario_id", "id % 7 <> 0 AS activo",
+        "aspect", "v",
     )
-    return sim.search_similar(_prototypes(t), marks, h.select("id", "aspect", "v"), t.propietarios, tipo="dominante").drop("puntaje")
+    return sim.search_similar(_prototypes(t), marks, t.propietarios, tipo="dominante").drop("puntaje")
 
 
 @query("v4_backfill", w("documentos_emitidos", """
@@ -585,3 +586,10 @@ def _(t):
     ).write.json(src)
     stream.stream_ingest(t.spark, src, schema, sink, _folder(t, "stream-checkpoint"), _folder(t, "stream-dead")).awaitTermination()
     return stream.ingested(t.spark, sink).select("carpeta", "archivo", "orden", "valor")
+
+
+@query("u11_delete_marks", w("marcas", """
+    SELECT id FROM marcas WHERE estado <> 'baja'"""))
+def _(t):
+    none = t.marcas.select(F.col("id").alias("marca_id"), F.lit("x").alias("archivo_png"))
+    return chg.delete_marks(t.marcas.where("estado = 'baja'").select("id"), t.marcas, none)[0].select("id")
