@@ -31,6 +31,7 @@ def _percent(c: Column) -> Column:
 def classify(features: DataFrame) -> DataFrame:
     """``categoria`` and ``razon`` of what is not a mark; the first rule that applies wins, null when none does."""
     c = F.col
+    # fixed values: limits, category names and wording of the rules
     straight = ((c("lineas") >= 0.82) & (c("largo") >= 0.30) & (c("n_comp") <= 6)) | (
         (c("lineas") >= 0.65) & (c("largo") >= 0.40) & (c("vertices") <= 10) & (c("n_comp") <= 8)
     )
@@ -164,6 +165,7 @@ def audit_pages(pages: DataFrame, excluded: str | None = None, prefixes: tuple =
         "carpeta", "archivo", "formato", "numero_guia", "fuente_numero", "conf_numero", "propietario", "imagen", read.alias("_printed")
     )
     conf = F.col("conf_numero")
+    # fixed values: wording and order of the findings
     reasons = F.array(
         F.when(~eight, "no tiene 8 dígitos").when(~prefix.isin(*prefixes), F.concat(F.lit("prefijo raro ("), prefix, F.lit(")"))),
         F.when((F.col("formato") == CERTIFICADO) & F.col("_clash"), "el mismo número en certificados distintos"),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stampbook.operators.ordering import Key, keys_of, ranked, sorts, top_n
 
-TAKE_ROWS = 50_000
+# a top-k this small is cheap even when thousands of input partitions each offer their own
+TAKE_ROWS = 2_000
 
 
 @dataclass(frozen=True)
@@ -56,12 +57,13 @@ def get(df: DataFrame, key: str, value) -> DataFrame:
 def stratified_sample(files: DataFrame, n: int, seed: int, path: str = "path") -> DataFrame:
     """``n`` files dealt evenly over their folders, the same ones for the same seed.
 
-    Round ``k`` takes the k-th file of every folder in seeded hash order. No folder can give more than ``n``, so each
+    Round ``k`` takes the k-th file of every folder in the order of a seeded hash. No folder can give more than ``n``, so each
     input partition forwards at most ``n`` rows per folder.
     """
     folder = F.regexp_replace(path, "/?[^/]*$", "")
-    drawn = files.withColumns(
-        {"_dir": folder, "_h": F.xxhash64(F.col(path), F.lit(seed)), "_d": F.xxhash64(folder, F.lit(seed))}
-    )
+    def draw(c):
+        return F.md5(F.concat_ws("#", c, F.lit(str(seed))))
+
+    drawn = files.withColumns({"_dir": folder, "_h": draw(F.col(path)), "_d": draw(folder)})
     dealt = top_n(drawn, ["_dir"], [Key("_h"), Key(path)], n, "_round")
     return dealt.orderBy("_round", "_d", "_dir", path).limit(n).select(*files.columns)

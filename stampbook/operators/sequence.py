@@ -88,6 +88,10 @@ def regular_lines(pages: DataFrame, positions: str = "posiciones", tolerance: fl
     return pages.withColumn("lineas_regulares", longest_regular_run(F.col(positions), tolerance))
 
 
+# fixed values: phrases that tell the pages of a guide apart
+MAIN_TITLE, ANNEX_WORD = "GUIA DE TRASLADO Y TRANSFERENCIA DE GANADO", "ANEXO"
+
+
 def _indexed(boxes: Column) -> Column:
     return F.transform(boxes, lambda b, i: b.withField("i", i))
 
@@ -146,8 +150,8 @@ def page_roles(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
     copy = F.when(copy_name != "", F.initcap(F.lower(copy_name))).otherwise(COPIAS[0])
     tagged = pages.withColumns(
         {
-            "principal": upper.contains("GUIA DE TRASLADO Y TRANSFERENCIA DE GANADO"),
-            "anexo": upper.contains("ANEXO"),
+            "principal": upper.contains(MAIN_TITLE),
+            "anexo": upper.contains(ANNEX_WORD),
             "copia": copy,
         }
     )

@@ -159,7 +159,10 @@ def _(t):
     return top_n(m, ["operacion_id"], [Key("_d"), Key("codigo")], 2).select("operacion_id", "codigo", "tipo", "rn")
 
 
-@query("p4_stratified_sample")
+@query("p4_stratified_sample", w("archivos", """
+    , f AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM archivos),
+      r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY md5(concat(path, '#7')), path) AS vuelta FROM f)
+    SELECT path, bytes FROM r ORDER BY vuelta, md5(concat(dir, '#7')), dir, path LIMIT 60"""))
 def _(t):
     return paging.stratified_sample(t.archivos, 60, seed=7)
 

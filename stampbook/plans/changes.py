@@ -501,10 +501,10 @@ def _(t):
     return snapshot.restore(t.spark, _dumped(t)[0], schemas)[0]["operaciones"]
 
 
-@query("r6_restore_documents", w("documentos_emitidos", "SELECT id, nombre, md5(datos) AS contenido FROM documentos_emitidos WHERE tipo = 'venta' AND id NOT IN (SELECT o_orderkey FROM orders)"))
+@query("r6_restore_documents", w("documentos_emitidos", "SELECT id, nombre, md5(datos) AS contenido FROM documentos_emitidos WHERE tipo = 'venta' AND id NOT IN (SELECT s_suppkey FROM supplier)"))
 def _(t):
     schemas = {"documentos_emitidos": T.StructType.fromDDL(_DUMPED["documentos_emitidos"])}
-    present = {"documentos_emitidos": t.operaciones.select("id")}
+    present = {"documentos_emitidos": t.usuarios.select("id")}
     docs = snapshot.restore(t.spark, _dumped(t)[0], schemas, existing=present, force=True)[0]["documentos_emitidos"]
     return docs.select("id", "nombre", F.md5("contenido").alias("contenido"))
 

@@ -192,10 +192,18 @@ def _(t):
     return c.withColumn("media", F.round("media", 6))
 
 
-@query("o4_regular_lines")
-def _(t):
-    rows = t.huellas.select("id", F.transform("v", lambda x: F.round(x * 40, 0).cast("double")).alias("posiciones"))
-    return sequence.regular_lines(rows).select("id", F.array_join(F.transform("lineas_regulares", lambda x: x.cast("string")), ",").alias("lineas"))
+@query("o4_regular_lines", """
+    WITH RECURSIVE p AS (SELECT vec_id AS id, list_sort(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 40))) AS pts FROM embeddings),
+      f AS (SELECT id, pts, 1 AS i, 0 AS s, CAST(NULL AS DOUBLE) AS base, 0 AS bs, 0 AS bl FROM p
+        UNION ALL SELECT id, pts, i + 1, s2, base2, CASE WHEN i - s2 > bl THEN s2 ELSE bs END, greatest(bl, i - s2) FROM (
+          SELECT *, CASE WHEN sigue THEN s ELSE i - 1 END AS s2, CASE WHEN sigue THEN base ELSE pts[i + 1] - pts[i] END AS base2 FROM (
+            SELECT *, coalesce(abs(pts[i + 1] - pts[i] - base) <= base * 0.15, false) AS sigue FROM f WHERE i < len(pts))))
+    SELECT id, array_to_string(list_transform(pts[bs + 1 : bs + bl + 1], lambda x: CAST(CAST(x AS BIGINT) AS STRING)), ',') AS lineas FROM f WHERE i = len(pts)""")
+def _(t):
+    places = F.transform("v", lambda x: F.round(x.cast("double") * 40, 0))
+    rows = t.huellas.select("id", places.alias("posiciones"))
+    text = F.transform("lineas_regulares", lambda x: x.cast("long").cast("string"))
+    return sequence.regular_lines(rows).select("id", F.array_join(text, ",").alias("lineas"))
 
 
 @query("o5_reading_order", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,19 +26,20 @@ def dump(tables: dict[str, DataFrame], path: str, keys: dict[str, str] | None =
     """Write each table as JSON parts in key order and a manifest (tabla, filas, partes), which is returned.
 
     Tables are range-partitioned by key, so parts follow one another and no task holds a whole table. Binary columns are
-    base64, missing values stay in the JSON, and an empty table still leaves one part. Rows are counted while written.
+    base64, missing values stay in the JSON, and an empty table still leaves one part. Rows and parts are counted in what
+    was stored (one JSON line per row), so the manifest describes the files and not the plan that wrote them.
     """
     keys, sizes = keys or {}, {**PART_ROWS, **(part_rows or {})}
     spark, manifest = next(iter(tables.values())).sparkSession, []
     for name, df in tables.items():
-        key, seen = keys.get(name, "id"), Observation(f"dump {name}")
-        watched = _textual(df).repartitionByRange(key).sortWithinPartitions(key).observe(seen, F.count(F.lit(1)).alias("filas"))
+        key = keys.get(name, "id")
         (
-            watched.write.mode("errorifexists").option("maxRecordsPerFile", sizes.get(name, DEFAULT_PART_ROWS))
-            .option("ignoreNullFields", "false").option("timestampFormat", ISO).json(f"{path}/{name}")
+            _textual(df).repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists")
+            .option("maxRecordsPerFile", sizes.get(name, DEFAULT_PART_ROWS)).option("ignoreNullFields", "false")
+            .option("timestampFormat", ISO).json(f"{path}/{name}")
         )
-        rows = seen.get["filas"]
-        parts = spark.read.text(f"{path}/{name}").select(F.input_file_name().alias("f")).distinct().count() if rows else 1
+        per_file = spark.read.text(f"{path}/{name}").groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
+        rows, parts = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
         manifest.append((name, rows, max(1, parts)))
     frame = spark.createDataFrame(manifest, "tabla string, filas long, partes long")
     frame.coalesce(1).write.mode("errorifexists").json(f"{path}/{MANIFEST}")
