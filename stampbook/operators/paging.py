@@ -34,7 +34,9 @@ def paginate(df: DataFrame, order, page: int, size: int, clamp: bool = True) ->
         page = min(page, last)
     keys, skip = keys_of(order), (page - 1) * size
     here = max(0, min(size, total - skip))
-    if skip + here <= TAKE_ROWS:
+    if not here:
+        rows = df.limit(0)
+    elif skip + here <= TAKE_ROWS:
         rows = df.orderBy(*sorts(keys)).offset(skip).limit(size)
     elif total - skip <= TAKE_ROWS:
         tail = df.orderBy(*sorts([k.reversed() for k in keys])).limit(total - skip)

@@ -23,7 +23,10 @@ def stream_ingest(
     spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, dead_letter: str,
     key: list[str] | None = None, order: str = "orden", fmt: str = "json",
 ) -> StreamingQuery:
-    """Read new files of ``source`` until none is left. ``schema`` carries an ``error`` column for failed pages."""
+    """Read new files of ``source`` until none is left. ``schema`` carries an ``error`` column for failed pages.
+
+    ``checkpoint`` and ``sink`` belong together: batch folders are named by the checkpoint's batch numbers.
+    """
     keys = key or PAGE_KEY
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     return (

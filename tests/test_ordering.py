@@ -185,6 +185,7 @@ def test_pages(spark, monkeypatch):
             at = min(page, 10)
             assert (p.total, p.page, p.last) == (95, at, 10)
             assert [r.id for r in p.rows.collect()] == want[(at - 1) * 10:at * 10]
+    assert paginate(df, order, 10**9, 10, clamp=False).rows.count() == 0
     empty = paginate(df.where("id < 0"), order, 4, 10)
     assert (empty.total, empty.page, empty.rows.count()) == (0, 1, 0)
 
