@@ -56,11 +56,12 @@ def eight_digit_numbers(c: Column, excluded: str | None = None) -> Column:
     return F.filter(runs, lambda n: (F.length(n) == 8) & (n != F.lit(excluded or "")))
 
 
-WHITESPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def without_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, WHITESPACE, "")
+    """The text without any kind of blank."""
+    return F.translate(c, WHITESPACE, "")
 
 
 # fixed values: characters an OCR reads in place of a digit
