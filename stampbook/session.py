@@ -27,10 +27,15 @@ def build_session(app: str = "stampbook", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master where none is set (tests).
+
+    On a cluster a missing setting is an error: a folder of one machine would hide its files from the others.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="stampbook-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
