@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from stampbook.llm import url_rules
+from stampbook.llm.divergence import op7_divergence
+from stampbook.llm.mixing import op1_pareto_mixing
 from stampbook.llm.relative_lz import op8_relative_lz
 from stampbook.llm.suffix_dedup import op4_suffix_dedup
+from stampbook.llm.token_shards import op10_token_shards
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op8_relative_lz)}
-CHECKS: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, url_rules.op3_url_rules, op4_suffix_dedup, op7_divergence, op8_relative_lz, op10_token_shards)}
+#: SQL where it can express the result; the others are tested against brute force in tests/llm.
+CHECKS: dict[str, str] = {"op3_url_rules": url_rules.CHECK}
