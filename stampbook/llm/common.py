@@ -15,9 +15,27 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = f"[^{SPACE_CLASS}]+"
 
 
+#: Names given out, for ``discard``.
+_given: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that driver and executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/stampbook-llm/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stampbook-llm/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def mark() -> int:
+    """How many names have been given out so far."""
+    return len(_given)
+
+
+def discard(spark: SparkSession, since: int, until: int) -> None:
+    """Removes what was written under the names given out between two marks; only for results that are no longer read."""
+    for path in _given[since:until]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

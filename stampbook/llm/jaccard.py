@@ -64,7 +64,7 @@ def _sets(n: int):
         for batch in batches:
             for part in slices(batch):
                 hashes, first = shingle_sets(part.column("text"), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_ids(hashes, first)), pa.array(np.diff(first))], ["doc_id", "sid", "size"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_ids(hashes, first)), pa.array(np.diff(first)), part.column("text_hash")], ["doc_id", "sid", "size", "text_hash"])
 
     return run
 
@@ -228,24 +228,24 @@ def near_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     A set: the distinct n-word shingles of the text, A-Z lower-cased, words split at blanks; of fewer words, the whole sequence;
     without words (or a missing text) empty and linked with nothing. Result: doc_id, n_shingles, component_id (smallest doc_id
-    reachable, itself included); one row per input row. Rows are judged each by its own text, also where they repeat a doc_id;
+    reachable, itself included), class (an id of the class; missing for empty sets), text_hash; one row per input row. Rows are judged each by its own text, also where they repeat a doc_id;
     a missing doc_id is never the smallest. An empty table gives an empty result. Other columns are ignored. Sets and shingles
     are told apart by 64-bit hashes.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = written(rows.mapInArrow(_sets(n), "doc_id long, sid long, size long"), "sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = written(rows.mapInArrow(_sets(n), "doc_id long, sid long, size long, text_hash long"), "sets")
     edges = links(rows, n, percent)
-    ids = sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("low"))
+    ids = sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("low")).withColumn("class", F.col("sid"))
     if edges is not None:
         classes = written(components(edges), "classes")
-        ids = ids.join(classes, F.col("sid") == F.col("id"), "left").select("sid", "low", F.coalesce("class", "sid").alias("class"))
+        ids = ids.drop("class").join(classes, F.col("sid") == F.col("id"), "left").select("sid", "low", F.coalesce("class", "sid").alias("class"))
         ids = written(ids, "ids")
-        ids = ids.join(written(ids.groupBy("class").agg(F.min("low").alias("least")), "least"), "class").select("sid", F.col("least").alias("low"))
+        ids = ids.join(written(ids.groupBy("class").agg(F.min("low").alias("least")), "least"), "class").select("sid", F.col("least").alias("low"), "class")
     ids = written(ids, "names")
     out = sets.join(ids, "sid", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), "class", "text_hash")
 
 
 def op9_jaccard(spark, folder: str) -> DataFrame:
     """The whole of documents: 3-word shingles, 90 percent."""
-    return near_classes(spark.read.parquet(f"{folder}/documents.parquet"))
+    return near_classes(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -48,7 +48,7 @@ def mix(docs: DataFrame, sources: DataFrame, ceiling: int = 3, seed: int = 17, s
     id, text and seed, and taken in that order until the words come nearest to the target: the sample's size is fixed, not
     its expectation. As borders are found in histograms of ranks, level by level, no source is ever sorted in one task.
 
-    Result: doc_id, size, source_size, target, taken, source, copies; one row per input row. Sizes are numbers of words; a
+    Result: doc_id, size, source_size, target, taken, source, copies, text_hash; one row per input row. Sizes are numbers of words; a
     missing text has 0. Sources without words have target 0. Equal rows (same id and text) tie and are interchangeable.
     An empty table gives an empty result. Other columns are ignored.
     """
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, sources: DataFrame, ceiling: int = 3, seed: int = 17, s
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words and a hash of the text, written once: the text is read in one pass."""
-    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
+    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")), "sizes")
 
 
 def cycled_weights(sized: DataFrame, weights=(5, 2, 1)) -> DataFrame:

@@ -188,6 +188,7 @@ def repeated_spans(docs: DataFrame, spec: Windows) -> DataFrame:
     else those at lo + offs. Documents without repeats have no spans."""
     text = docs.select("doc_id", "tid", "text")
     twice = text.select("text").mapInArrow(_hashes(spec), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    twice = written(twice, "twice")  # a table of its own, so that the join below can be dealt anew where one hash is hot
     runs = text.mapInArrow(_runs(spec), "h long, s long, doc_id long, tid int, lo int, n short")
     runs = written(runs.join(twice.hint("shuffle_hash"), "h"), "runs")
 
@@ -206,7 +207,7 @@ def repeated_spans(docs: DataFrame, spec: Windows) -> DataFrame:
     marks = marks.unionByName(rows.join(firsts, ["h", "key"]).where(later).groupBy("h", "s").agg(F.collect_list("off").alias("offs")))
 
     known = keys.join(marks, ["h", "s"], "left").select("h", "s", F.col("at.doc_id").alias("a"), F.col("at.tid").alias("b"), F.col("at.lo").alias("c"), "offs")
-    found = runs.join(known, ["h", "s"])
+    found = runs.join(written(known, "known"), ["h", "s"])
     whole = F.struct("a", "b", "c") < F.struct("doc_id", "tid", "lo") if spec.same_document else F.col("a") < F.col("doc_id")
     spans = found.where(whole | F.col("offs").isNotNull()).select("doc_id", "tid", F.struct("lo", "n", F.when(~whole, F.col("offs")).alias("offs")).alias("span"))
     spans = spans.groupBy("doc_id", "tid").agg(F.collect_list("span").alias("spans"))
