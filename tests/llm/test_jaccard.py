@@ -1,8 +1,5 @@
 import random
 
-import pytest
-
-from stampbook.llm import jaccard
 from stampbook.llm.jaccard import Bands, components, near_classes
 from support import WORD, documents, prose
 
@@ -43,9 +40,7 @@ def near(seed, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("rounds", [4, 0])
-def test_against_brute_force(spark, rounds, monkeypatch):
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", rounds)
+def test_against_brute_force(spark):
     texts = [None, "", " \n", "one", "One", "two words", "TWO words", "a b c", "a b c a b c", "É b", "é b"]
     for seed, size, n, edits in ((1, 200, 25, 6), (2, 60, 20, 2), (3, 30, 15, 1), (4, 12, 10, 1), (5, 500, 8, 14)):
         texts += near(seed, prose(seed, size), n, edits)
@@ -58,6 +53,22 @@ def test_against_brute_force(spark, rounds, monkeypatch):
     assert 3 < len({c for _, _, c in want}) < len(rows)
 
 
+def test_one_large_group_of_loose_copies(spark):
+    """Copies of copies: links that no pivot shows, and many pairs of one list that are not similar."""
+    r = random.Random(11)
+    pool = [prose(77, 120)]
+    for k in range(150):
+        w = r.choice(pool).split()
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = f"k{k}x{r.randrange(9)}"
+        pool.append(" ".join(w))
+    rows = list(enumerate(pool))
+    got = near_classes(documents(spark, rows)).collect()
+    want = brute(rows)
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == want
+    assert 5 < len({c for _, _, c in want}) < 150
+
+
 def test_repeated_rows_missing_ids_empty(spark):
     a, b = prose(1, 50), prose(2, 50)
     rows = [(5, a), (5, a), (5, b), (None, a), (3, b), (None, "alone")]
