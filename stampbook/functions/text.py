@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,30 +12,31 @@ from stampbook.schemas import ANEXO, CERTIFICADO, PRINCIPAL
 
 
 def _fold_table() -> tuple[str, str, list[tuple[str, str]]]:
-    """Compatibility folding to ASCII of the Latin blocks, derived from the Unicode database."""
+    """Compatibility folding to ASCII of all characters that fold to any, derived from the Unicode database."""
     single_from, single_to, longer = [], [], []
-    blocks = [range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0x2000, 0x2070), range(0x2100, 0x2150), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F)]
-    for block in blocks:
-        for code in block:
-            ch = chr(code)
-            plain = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
-            if len(plain) == 1:
-                single_from.append(ch)
-                single_to.append(plain)
-            elif plain:
-                longer.append((ch, plain))
+    for code in range(0x80, sys.maxunicode + 1):
+        ch = chr(code)
+        if not unicodedata.decomposition(ch):
+            continue
+        plain = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            single_from.append(ch)
+            single_to.append(plain)
+        elif plain:
+            longer.append((ch, plain))
     return "".join(single_from), "".join(single_to), longer
 
 
 _FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_table()
 _LONGER_CLASS = "[" + "".join(ch for ch, _ in _FOLD_LONGER) + "]"
+_LONGER_FROM = [ch for ch, _ in _FOLD_LONGER]
+_LONGER_TO = [plain for _, plain in _FOLD_LONGER]
 
 
 def ascii_fold(c: Column) -> Column:
     """Strip accents and compatibility forms, then drop what is still not ASCII."""
-    expanded = c
-    for ch, plain in _FOLD_LONGER:
-        expanded = F.replace(expanded, F.lit(ch), F.lit(plain))
+    table = F.map_from_arrays(F.lit(_LONGER_FROM), F.lit(_LONGER_TO))
+    expanded = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
     folded = F.translate(F.when(c.rlike(_LONGER_CLASS), expanded).otherwise(c), _FOLD_FROM, _FOLD_TO)
     return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(F.regexp_replace(folded, r"[^\x00-\x7F]", ""))
 
@@ -122,7 +124,7 @@ def origin_label(folder: Column, file_name: Column) -> Column:
 
 
 def capitalized(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def grid_position(kind: Column, row: Column, col: Column) -> Column:

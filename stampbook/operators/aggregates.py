@@ -117,8 +117,8 @@ def relevant_files(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(~F.arrays_overlap(parts, F.array(*[F.lit(n) for n in SYSTEM_NAMES])) & ~F.col(path).endswith("/"))
 
 
-def file_inventory(files: DataFrame, path: str = "path", size: str = "bytes", folders: int = 10) -> DataFrame:
-    """Files and bytes by extension, by folder (the fullest ones) and in total: (grupo, valor, archivos, bytes)."""
+def file_inventory(files: DataFrame, path: str = "path", size: str = "bytes", folders: int | None = None) -> DataFrame:
+    """Files and bytes by extension, by folder (all, or the ``folders`` fullest) and in total: (grupo, valor, archivos, bytes)."""
     name = F.regexp_extract(path, "([^/]*)$", 1)
     f = relevant_files(files, path).select(
         F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)).alias("ext"),
@@ -131,7 +131,9 @@ def file_inventory(files: DataFrame, path: str = "path", size: str = "bytes", fo
             F.lit(group).alias("grupo"), "valor", "archivos", "bytes"
         )
 
-    top = part("carpeta", F.col("dir")).orderBy(F.desc("archivos"), "valor").limit(folders)
+    top = part("carpeta", F.col("dir"))
+    if folders is not None:
+        top = top.orderBy(F.desc("archivos"), "valor").limit(folders)
     return part("extension", F.col("ext")).unionByName(top).unionByName(part("total", F.lit("")))
 
 

@@ -9,17 +9,14 @@ from stampbook.functions.numbers import swapped_at
 from stampbook.functions.text import eight_digit_numbers
 from stampbook.operators.filters import visible
 from stampbook.operators.guides import cited_facts
-from stampbook.operators.ordering import Key, top_n
+from stampbook.operators.ordering import Key, ranked, top_n
 from stampbook.operators.relations import usable
 from stampbook.schemas import ANEXO, CERTIFICADO, PREFIJOS_CONOCIDOS, PRINCIPAL
 
 # --- fixed values: thresholds of the rules ----------------------------------------------------
 LOW_CONFIDENCE = 0.6
 NEAR_CONFIDENCE = 0.75
-NEAR_SHOWN = 3
 NEAR_BLOCK = 4
-CITED_MARKS = 60
-CANDIDATES_PER_PAGE = 6
 PAGE_READING_WEIGHT = 2
 INK_MIN, INK_MAX, PIECES_MAX, SIDE_MIN = 0.8, 35.0, 12, 40
 
@@ -130,10 +127,12 @@ def clashing_certificates(pages: DataFrame) -> DataFrame:
 REPORT = ["carpeta", "archivo", "formato", "numero_guia", "fuente", "conf", "propietario", "motivos", "imagen"]
 
 
-def audit_pages(pages: DataFrame, excluded: str | None = None, prefixes: tuple = PREFIJOS_CONOCIDOS) -> DataFrame:
+def audit_pages(
+    pages: DataFrame, excluded: str | None = None, prefixes: tuple = PREFIJOS_CONOCIDOS, near_shown: int | None = None
+) -> DataFrame:
     """One row per page with something to review and per cited number no page carries; ``motivos`` joined by "; ".
 
-    Pages without a number need no lookup and skip the join. Facts about a number are one small row each.
+    All near-equal numbers are named, or the first ``near_shown``. Pages without a number need no lookup and skip the join. Facts about a number are one small row each.
     """
     n = F.nullif(F.col("numero_guia"), F.lit(""))
     common = {
@@ -143,7 +142,9 @@ def audit_pages(pages: DataFrame, excluded: str | None = None, prefixes: tuple =
     bare = pages.where(n.isNull()).withColumns({**common, "numero_guia": F.lit(""), "motivos": F.lit("sin número")})
 
     numbered = pages.where(n.isNotNull())
-    close = top_n(near_pairs(numbered, "numero_guia", NEAR_BLOCK), ["n"], ["m"], NEAR_SHOWN)
+    close = near_pairs(numbered, "numero_guia", NEAR_BLOCK)  # no more of them than the number's digits allow
+    if near_shown is not None:
+        close = top_n(close, ["n"], ["m"], near_shown)
     facts = (
         clashing_certificates(pages).withColumn("_clash", F.lit(True))
         .join(
@@ -209,9 +210,9 @@ def vote(readings: DataFrame) -> DataFrame:
     return counted.groupBy("item").agg(best.alias("_b")).select("item", F.col("_b.valor").alias("ganador"), "_b.votos")
 
 
-def candidates(readings: DataFrame, page: str = "pagina", pos: str = "pos") -> DataFrame:
-    """The first candidates of each page that take part in the vote."""
-    return top_n(readings, [page], [pos], CANDIDATES_PER_PAGE, "_k").drop("_k")
+def candidates(readings: DataFrame, page: str = "pagina", pos: str = "pos", n: int | None = None) -> DataFrame:
+    """The candidates of each page that take part in the vote: all, or the first ``n``."""
+    return readings if n is None else top_n(readings, [page], [pos], n, "_k").drop("_k")
 
 
 def reconcile(first: DataFrame, winners: DataFrame) -> DataFrame:
@@ -267,18 +268,21 @@ def dominant_conflicts(marks: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def cited_marks(cited: DataFrame, marks: DataFrame, pages: DataFrame, ops: DataFrame, n: int = CITED_MARKS) -> DataFrame:
-    """Up to ``n`` usable marks of each cited guide, reached through their page or their operation, dominant first."""
+def cited_marks(cited: DataFrame, marks: DataFrame, pages: DataFrame, ops: DataFrame, n: int | None = None) -> DataFrame:
+    """Usable marks of each cited guide (all, or the first ``n``), reached through their page or their operation, dominant first."""
     numbers = cited.where(F.col("cod") == "G").select(F.col("numero").alias("numero_guia")).distinct()
-    m = usable(marks).select("id", "codigo", "tipo", "estado", "escaneo_id", "operacion_id")
+    shown = ["id", "codigo", "tipo", "estado", *(["descripcion"] if "descripcion" in marks.columns else [])]
+    m = usable(marks).select(*shown, "escaneo_id", "operacion_id")
 
     def through(parents: DataFrame, column: str) -> DataFrame:
         wanted = parents.select(F.col("id").alias(column), "numero_guia").join(numbers, "numero_guia", "left_semi")
-        return m.join(wanted, column, "inner").select("numero_guia", "id", "codigo", "tipo", "estado")
+        return m.join(wanted, column, "inner").select("numero_guia", *shown)
 
     reached = through(pages, "escaneo_id").unionByName(through(ops, "operacion_id")).distinct()
-    ranked = reached.withColumn("_d", F.when(F.col("tipo") == "dominante", 0).otherwise(1))
-    return top_n(ranked, ["numero_guia"], [Key("_d"), Key("codigo")], n, "posicion").drop("_d")
+    placed = reached.withColumn("_d", F.when(F.col("tipo") == "dominante", 0).otherwise(1))
+    order = [Key("_d"), Key("codigo")]
+    found = ranked(placed, ["numero_guia"], order, "posicion") if n is None else top_n(placed, ["numero_guia"], order, n, "posicion")
+    return found.drop("_d")
 
 
 def validate_citations(cited: DataFrame, pages: DataFrame, ops: DataFrame) -> DataFrame:

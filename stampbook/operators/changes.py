@@ -5,12 +5,15 @@ Nothing is written here, so any operator is its own dry run; :func:`write_snapsh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stampbook.operators.aggregates import action_counts
 from stampbook.operators.filters import no_mark_reason
-from stampbook.operators.ordering import all_small, ranked, scan, split
+from stampbook.operators.numbering import joined_numbers
+from stampbook.operators.ordering import all_small, scan, split
 from stampbook.operators.relations import deletion_plan, match_files
 from stampbook.schemas import PREFIJO_NO_MARCA
 
@@ -18,26 +21,42 @@ NEW, UPDATED, PROTECTED, SAME = "nueva", "actualizada", "protegida", "sin_cambio
 
 
 def last_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last incoming row of each key; merges expect one row per key."""
+    """The last incoming row of each key."""
     rest = [c for c in df.columns if c not in key]
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*key, "_r.*")
 
 
+def once_per_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` as it is; running it fails where a key comes twice, as nothing tells which row is the later one."""
+    rest = [c for c in df.columns if c not in key]
+    said = F.raise_error(F.concat(F.lit("repeated incoming key, give an order: "), F.to_json(F.struct(*key))))
+    one = F.when(F.count(F.lit(1)) > 1, said.cast("boolean")).otherwise(F.lit(True))
+    return df.groupBy(*key).agg(F.any_value(F.struct(*rest)).alias("_r"), one.alias("_one")).where("_one").select(*key, "_r.*")
+
+
 def merge(
     cur: DataFrame, inc: DataFrame, key: list[str], update: list[str], policy: str = "replace",
     protected: Column | None = None, insert: bool = True, stamp: str | None = None, now: Column | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Keyed merge of ``inc`` into ``cur``: new snapshot plus ``accion``.
 
+    A missing key matches nothing: stored rows without a whole key stay as they are, incoming ones are new. Neither takes part
+    in the join. Of incoming rows with one key the last by ``order`` counts; without an order a repeated key is an error.
+
     Columns outside ``update`` keep their current value on existing rows; a new row takes whatever ``inc`` offers.
     ``policy`` decides what an update writes: ``replace`` always, ``given`` only values that are not null, ``filled`` only
     values that are not empty, ``missing`` only where the current value is empty. Rows that satisfy ``protected`` (over
     the current columns) keep everything. ``stamp`` names a timestamp column set on updated rows.
     """
     types = {f.name: f.dataType for f in cur.schema.fields}
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    bare, fresh = cur.where(~whole), inc.where(~whole)
+    cur, inc = cur.where(whole), inc.where(whole)
+    inc = last_per_key(inc, key, order) if order else once_per_key(inc, key)
     c = cur.select("*", F.lit(True).alias("_cur"), (protected if protected is not None else F.lit(False)).alias("_keep")).alias("c")
     i = inc.select("*", F.lit(True).alias("_inc")).alias("i")
-    cond = [F.col(f"c.{k}").eqNullSafe(F.col(f"i.{k}")) for k in key]
+    cond = [F.col(f"c.{k}") == F.col(f"i.{k}") for k in key]
     joined = c.join(i, cond, "full" if insert else "left")
     old, new = F.col("c._cur").isNotNull(), F.col("i._inc").isNotNull()
     keep = F.coalesce(F.col("c._keep"), F.lit(False))
@@ -69,10 +88,14 @@ def merge(
             value = F.when(changes, now if now is not None else F.current_timestamp()).otherwise(value)
         out.append(value.alias(name))
     action = F.when(~old, NEW).when(~new, SAME).when(keep, PROTECTED).otherwise(UPDATED)
-    return joined.select(*out, action.alias("accion"))
+    merged = joined.select(*out, action.alias("accion")).unionByName(bare.withColumn("accion", F.lit(SAME)))
+    if not insert:
+        return merged
+    given = [(F.col(n) if n in fresh.columns else F.lit(None)).cast(t).alias(n) for n, t in types.items()]
+    return merged.unionByName(fresh.select(*given, F.lit(NEW).alias("accion")))
 
 
-# columns an image manifest refreshes; owner and description stay as entered by hand
+# fixed values: columns an image manifest refreshes; owner and description stay as entered by hand
 MANIFEST_COLUMNS = [
     "archivo_png", "archivo_svg", "hoja", "fila", "columna", "ancho_px", "alto_px", "aspecto", "tinta_pct", "componentes",
     "sha1", "estado", "observaciones",
@@ -88,7 +111,7 @@ def import_manifest(cur: DataFrame, manifest: DataFrame) -> tuple[DataFrame, Dat
         F.when(F.col("revisar"), "revisar").otherwise("activa").alias("estado"),
         F.nullif("observaciones", F.lit("")).alias("observaciones"),
     )
-    merged = merge(cur, rows, ["codigo"], MANIFEST_COLUMNS)
+    merged = merge(cur, rows.withColumn("_read", F.monotonically_increasing_id()), ["codigo"], MANIFEST_COLUMNS, order="_read")
     counts = merged.agg(
         F.count_if(F.col("accion") == NEW).alias("nuevas"), F.count_if(F.col("accion") == UPDATED).alias("actualizadas"),
         F.lit(0).cast("long").alias("omitidas"),
@@ -99,6 +122,7 @@ def import_manifest(cur: DataFrame, manifest: DataFrame) -> tuple[DataFrame, Dat
     return merged, counts.agg(*[F.sum(x).alias(x) for x in ("nuevas", "actualizadas", "omitidas")])
 
 
+# fixed values: columns of an owner
 OWNER_FIELDS = ["documento", "establecimiento", "establecimiento_codigo", "localidad", "departamento", "telefono"]
 
 
@@ -156,6 +180,7 @@ def resolve_owners(cur: DataFrame, inc: DataFrame, hot_rows: int | None = None)
     return links, owners
 
 
+# fixed values: stored columns of operations and marks
 OPERATION_FIELDS = [
     "numero_guia", "fecha", "vendedor_nombre", "vendedor_documento", "vendedor_establecimiento",
     "vendedor_establecimiento_codigo", "comprador_nombre", "comprador_documento", "cantidad_animales",
@@ -169,7 +194,8 @@ BATCH_MARK_FIELDS = [
 
 def with_new_ids(df: DataFrame, is_new: Column, start: int, order: list[str], column: str = "id") -> DataFrame:
     """Consecutive ids after ``start`` for new rows, in the given order; other rows keep theirs."""
-    fresh = ranked(df.where(is_new), [], order, "_n").withColumn(column, F.lit(start) + F.col("_n")).drop("_n")
+    kind = df.schema[column].dataType
+    fresh = joined_numbers(df.where(is_new), order, "_n", start).withColumn(column, F.col("_n").cast(kind)).drop("_n")
     return df.where(~is_new).unionByName(fresh)
 
 
@@ -186,7 +212,7 @@ def import_batch(
     """
     source = ops.withColumns({"origen": F.lit(batch), "origen_id": F.col("id").cast("long")}).drop("id")
     update = [c for c in OPERATION_FIELDS if c in ops.columns and c in cur_ops.columns]
-    new_ops = merge(cur_ops, source, ["origen", "origen_id"], update)
+    new_ops = merge(cur_ops, source.withColumn("_read", F.monotonically_increasing_id()), ["origen", "origen_id"], update, order="_read")
 
     sellers = ops.where(F.coalesce(F.col("vendedor_nombre") != "", F.lit(False))).select(
         F.col("id").cast("long").alias("row"), F.col("vendedor_nombre").alias("nombre"),
@@ -215,13 +241,14 @@ def import_batch(
                 "estado": F.when(F.col("sospechosa_calidad"), "revisar").otherwise("activa"),
             }
         )
-        .drop("operacion_id", "id")
+        .withColumn("_read", F.col("id")).drop("operacion_id", "id")
     )
     fields = [c for c in [*BATCH_MARK_FIELDS, "owner"] if c in incoming.columns and c in cur_marks.columns]
-    new_marks = merge(cur_marks, incoming, ["origen_archivo"], fields, policy="given")
+    new_marks = merge(cur_marks, incoming, ["origen_archivo"], fields, policy="given", order="_read")
     return {"operaciones": new_ops, "marcas": new_marks, "propietarios": owners, "enlaces": links, "faltantes": missing}
 
 
+# fixed values: columns a sheet may fill
 SHEET_FIELDS = ["descripcion", "observaciones", "owner", "numero_guia", "archivo_png", "estado", "tipo"]
 
 
@@ -246,12 +273,15 @@ def import_sheet(cur_marks: DataFrame, cur_owners: DataFrame, valid: DataFrame)
 PAGE_KEY = ["carpeta", "archivo"]
 
 
-def protected_upsert(cur: DataFrame, inc: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Page load that leaves rows corrected by hand (source ``manual`` or reviewed) as they are."""
+def protected_upsert(cur: DataFrame, inc: DataFrame, key: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Page load that leaves rows corrected by hand (source ``manual`` or reviewed) as they are. Of a page loaded twice the last
+    by ``order`` counts, or as read."""
     key = key or PAGE_KEY
     guard = F.coalesce(F.col("fuente_numero") == "manual", F.lit(False)) | F.coalesce("revisado", F.lit(False))
     update = [c for c in inc.columns if c in cur.columns and c not in key]
-    return merge(cur, inc, key, update, protected=guard)
+    if order is None:
+        order, inc = "_read", inc.withColumn("_read", F.monotonically_increasing_id())
+    return merge(cur, inc, key, update, protected=guard, order=order)
 
 
 def insert_new(existing: DataFrame, inc: DataFrame, files: DataFrame, key: str = "origen_archivo") -> DataFrame:
@@ -360,7 +390,7 @@ def replace_with_history(
         .withColumns({"motivo": F.lit(reason), "creado_en": now if now is not None else F.current_timestamp()})
     )
     kinds = {f.name: f.dataType for f in versions.schema.fields}
-    entries = ranked(saved, [], ["marca_id"], "_n").withColumn("id", F.lit(base) + F.col("_n"))
+    entries = joined_numbers(saved, ["marca_id"], "id", base)
     history = versions.unionByName(entries.select(*[F.col(c).cast(kinds[c]).alias(c) for c in versions.columns]))
     cleared = new.withColumn("huella", F.lit(None).cast("binary")) if "huella" in cur.columns else new
     update = [c for c in [*IMAGE_COLUMNS, "huella"] if c in cur.columns]
@@ -381,6 +411,7 @@ def restore_version(
     return replace_with_history(cur, versions, new, "restauracion", now=now)
 
 
+# fixed values: columns that can be corrected by hand
 EDITABLE_PAGE = ["numero_guia", "propietario", "propietario_documento", "establecimiento", "cantidad_animales", "notas", "revisado"]
 
 

@@ -38,7 +38,6 @@ RE_TOTAL = r"Total\s*\*+\s*(\d+)"
 RE_IN_WORDS = r"(?i)SON:\s*(.+?)\s+ANIMALES?\s+Y\s+(.+?)\s+MARCAS?"
 RE_CITATION = r"\((B|G)\)\s*([A-Za-z0-9]+)(?:\s+(\d{2}/\d{2}/\d{4}))?"
 CITATION_SECTION, CITATION_COLUMN, CITATION_END = "Rubro 4", "Respaldo", "Factura de venta"
-CITATION_WINDOW = 4_000
 
 
 def _found(c: Column, pattern: str, group: int = 1) -> Column:
@@ -137,9 +136,9 @@ def extract_fields(pages: DataFrame, lines: str = "lineas", height: str = "alto"
         "conf_numero": F.coalesce(F.col("_pick")["c"], F.lit(0.0)),
         "numero_certificado": F.col("_cert"),
         "propietario": F.when(is_cert, F.trim(_first(names)["texto"]))
-        .when(F.col("formato") == PRINCIPAL, F.substring(F.trim(company["texto"]), 1, 80)),
+        .when(F.col("formato") == PRINCIPAL, F.trim(company["texto"])),
         "propietario_documento": F.when(is_cert, _found(F.col("_own")["t"], RE_OWNER)),
-        "establecimiento": F.when(is_cert, F.substring(F.trim(place["texto"]), 1, 80)),
+        "establecimiento": F.when(is_cert, F.trim(place["texto"])),
         "cantidad_animales": F.when(is_cert, starred),
         "fecha_texto": _found(F.col("_todo"), RE_DATE),
     }
@@ -167,11 +166,13 @@ def extract_header(df: DataFrame, text: str = "texto") -> DataFrame:
     )
 
 
-def citations_in(text: Column) -> Column:
-    """Cited documents of a guide's section: array of (cod, numero, fecha), each (code, number) once, in order."""
+def citations_in(text: Column, window: int | None = None) -> Column:
+    """Cited documents of a guide's section: array of (cod, numero, fecha), each (code, number) once with its first date, in order.
+
+    A section without its end marker goes on to the end of the text, or for ``window`` characters if given."""
     start = F.instr(text, CITATION_SECTION)
     end = F.position(F.lit(CITATION_END), text, F.greatest(start, F.lit(1)))
-    length = F.when(end > start, end - start).otherwise(F.lit(CITATION_WINDOW))
+    length = F.when(end > start, end - start).otherwise(F.length(text) if window is None else F.lit(window))
     block = F.substring(text, start, length)
     rows = F.regexp_replace(block, f"(?s)^.*?(?={CITATION_COLUMN})", "")
 
@@ -186,15 +187,23 @@ def citations_in(text: Column) -> Column:
         ),
         lambda z: z["numero"].rlike("[0-9]"),
     )
-    def seen(earlier: Column, z: Column) -> Column:
-        return F.exists(earlier, lambda y: (y["cod"] == z["cod"]) & (y["numero"] == z["numero"]))
+    placed = F.transform(listed, lambda z, i: F.struct(z["cod"].alias("cod"), z["numero"].alias("numero"), i.alias("i"), z["fecha"].alias("fecha")))
+
+    def fresh(a: Column) -> Column:
+        """The first of each run of equal (code, number) in the sorted array."""
+        def new(z: Column, k: Column) -> Column:
+            before = a[F.greatest(k - 1, F.lit(0))]
+            return (k == 0) | (before["cod"] != z["cod"]) | (before["numero"] != z["numero"])
+
+        return F.filter(a, new)
 
-    once = let(listed, lambda a: F.filter(a, lambda z, i: ~seen(F.slice(a, F.lit(1), i), z)))
+    back = F.array_sort(F.transform(let(F.array_sort(placed), fresh), lambda z: F.struct(z["i"].alias("i"), z.alias("z"))))
+    once = F.transform(back, lambda x: F.struct(x["z"]["cod"].alias("cod"), x["z"]["numero"].alias("numero"), x["z"]["fecha"].alias("fecha")))
     return F.when(start > 0, once).otherwise(F.array().cast("array<struct<cod:string,numero:string,fecha:string>>"))
 
 
-def parse_citations(df: DataFrame, text: str = "texto", name: str = "respaldo") -> DataFrame:
-    return df.withColumn(name, citations_in(F.col(text)))
+def parse_citations(df: DataFrame, text: str = "texto", name: str = "respaldo", window: int | None = None) -> DataFrame:
+    return df.withColumn(name, citations_in(F.col(text), window))
 
 
 def citations(pages: DataFrame, key: str = "numero_guia", column: str = "respaldo") -> DataFrame:
@@ -219,13 +228,12 @@ MAX_STAMPED = 150
 def snapshot(ops: DataFrame, stamped: DataFrame, max_marks: int = MAX_STAMPED) -> DataFrame:
     """Issued-document snapshot per operation: ``datos`` JSON object and ``marcas`` JSON array in stamping order.
 
-    ``stamped`` holds (operacion_id, pos, codigo, tipo, descripcion, propietario). A document takes at most ``max_marks``
-    marks: one that asks for more is returned with ``rechazado`` and no list, as the issuing form refuses it.
+    ``stamped`` holds (operacion_id, pos, codigo, tipo, descripcion, propietario). The issuing form refuses documents with more
+    than ``max_marks`` marks; ``rechazado`` tells which those are, their list is given like any other.
     """
     counts = stamped.groupBy("operacion_id").agg(F.count(F.lit(1)).alias("cantidad_marcas"))
     item = F.struct("codigo", "tipo", "descripcion", "propietario")
-    fits = stamped.join(counts.where(F.col("cantidad_marcas") <= max_marks).select("operacion_id"), "operacion_id", "left_semi")
-    lists = fits.groupBy("operacion_id").agg(
+    lists = stamped.groupBy("operacion_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("m")))), lambda x: x["m"]).alias("_m")
     )
     null_kept = {"ignoreNullFields": "false"}
@@ -236,7 +244,6 @@ def snapshot(ops: DataFrame, stamped: DataFrame, max_marks: int = MAX_STAMPED) -
         .select(
             "operacion_id", "datos", F.coalesce("cantidad_marcas", F.lit(0)).alias("cantidad_marcas"),
             (F.coalesce("cantidad_marcas", F.lit(0)) > max_marks).alias("rechazado"),
-            F.when(F.coalesce("cantidad_marcas", F.lit(0)) <= max_marks,
-                   F.coalesce(F.to_json("_m", null_kept), F.lit("[]"))).alias("marcas"),
+            F.coalesce(F.to_json("_m", null_kept), F.lit("[]")).alias("marcas"),
         )
     )

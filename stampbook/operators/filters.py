@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stampbook.functions.text import normalize_label
 from stampbook.schemas import ESTADOS, PREFIJO_NO_MARCA, TIPOS, TIPOS_DOCUMENTO, TIPOS_OPERACION
 
 MARK_FACETS = {"estado": ("estado", ESTADOS), "tipo": ("tipo", TIPOS), "carpeta": ("origen_carpeta_n", (1, 2))}
@@ -147,7 +148,7 @@ def validate_rows(
     for c in not_negative or []:
         fatal.append(F.when(F.col(c) < 0, F.lit(f"{c} negativa")))
     unknown = {
-        c: ~empty(c) & ~F.coalesce(F.lower(F.trim(c)).isin(*allowed), F.lit(False)) for c, allowed in (enums or {}).items()
+        c: ~empty(c) & ~F.coalesce(normalize_label(F.col(c)).isin(*allowed), F.lit(False)) for c, allowed in (enums or {}).items()
     }
     soft = [F.when(bad, F.concat(F.lit(f"{c} '"), F.col(c), F.lit("' desconocido"))) for c, bad in unknown.items()]
     none = F.array().cast("array<string>")
@@ -160,7 +161,7 @@ def validate_rows(
     warnings = flagged.select(
         row, F.explode(F.when(F.size("_fatal") > 0, F.slice("_fatal", 1, 1)).otherwise(F.col("_soft"))).alias("problema")
     )
-    cleaned = {c: F.when(~bad & ~empty(c), F.lower(F.trim(c))) for c, bad in unknown.items()}
+    cleaned = {c: F.when(~bad & ~empty(c), normalize_label(F.col(c))) for c, bad in unknown.items()}
     valid = flagged.where(F.size("_fatal") == 0).drop("_fatal", "_soft").withColumns(cleaned)
     return valid, warnings
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,19 @@ from stampbook.session import checkpoint_dir
 PLACES = 1 << 33
 
 
+def joined_numbers(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """``df`` with ``name``: its place by the ``order`` columns (which tell its rows apart) after ``start``.
+
+    Only the key is numbered; wide rows meet their number in a join.
+    """
+    places = numbered(df.select(*order), [F.col(c).asc_nulls_last() for c in order], "_place")
+    places = places.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)], (F.col("_place") + start).alias("_place"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(order)])
+    out = df.drop(name) if name not in order else df
+    found = out.join(places, same).drop(*[f"_k{i}" for i in range(len(order))])
+    return found.withColumn(name, F.col("_place")).drop("_place")
+
+
 def numbered(keys: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """``keys`` (a narrow table: ids and sort keys only) with its 1-based place in ``order``, a total order.
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stampbook.operators.ordering import Key, keys_of, ranked, sorts, top_n
+from stampbook.operators.numbering import numbered
+from stampbook.operators.ordering import Key, keys_of, sorts, top_n
 
 # a top-k this small is cheap even when thousands of input partitions each offer their own
 TAKE_ROWS = 2_000
@@ -24,8 +26,8 @@ class Page:
 def paginate(df: DataFrame, order, page: int, size: int, clamp: bool = True) -> Page:
     """One page of an ordered listing and the total. ``order`` needs a unique last key.
 
-    Pages near either end are a bounded top-k. A page deep in the middle of a large listing is cut out by row number, so
-    the rows before it never meet in one task.
+    Pages near either end are a bounded top-k. For a page deep in the middle only the sort keys are numbered, by range
+    partitions; the rows of the page (``size`` at most) then meet their whole rows.
     """
     total = df.count()
     last = max(1, -(-total // size))
@@ -42,8 +44,11 @@ def paginate(df: DataFrame, order, page: int, size: int, clamp: bool = True) ->
         tail = df.orderBy(*sorts([k.reversed() for k in keys])).limit(total - skip)
         rows = tail.orderBy(*sorts(keys)).limit(size)
     else:
-        numbered = ranked(df, [], keys, "_n")
-        rows = numbered.where((F.col("_n") > skip) & (F.col("_n") <= skip + size)).drop("_n").orderBy(*sorts(keys))
+        names = [k.name for k in keys]
+        places = numbered(df.select(*names), sorts(keys), "_n").where((F.col("_n") > skip) & (F.col("_n") <= skip + size))
+        wanted = F.broadcast(places.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)]))  # size rows
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)])
+        rows = df.join(wanted, same, "left_semi").orderBy(*sorts(keys))
     return Page(rows, total, page, last)
 
 

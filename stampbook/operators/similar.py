@@ -17,7 +17,6 @@ from stampbook.operators.ordering import Key, ranked, top_n
 
 TOP = 24
 QUERIES_PER_PASS = 256
-BACKFILL_ROWS = 250
 BROADCAST_QUERIES = 1_000  # times k winners, a few thousand narrow rows
 BROADCAST_ROWS = 10_000
 
@@ -45,10 +44,11 @@ def fingerprint_vectors(df: DataFrame, key: str = "id", column: str = "huella")
     """(key, aspect, v) of stored fingerprints: one aspect byte followed by the pixels. Empty ones are left out."""
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = [np.frombuffer(h, dtype=np.uint8) for h in b[column]]
-            yield pd.DataFrame(
-                {key: b[key], "aspect": [max(int(r[0]), 1) / 64.0 for r in raw], "v": [r[1:].astype(np.float32) for r in raw]}
-            )
+            size = b[column].str.len()
+            for n in size.unique():  # prints of one size form a matrix
+                part = b[size == n]
+                raw = np.frombuffer(b"".join(part[column]), dtype=np.uint8).reshape(len(part), n)
+                yield pd.DataFrame({key: part[key], "aspect": np.maximum(raw[:, 0], 1) / 64.0, "v": list(raw[:, 1:].astype(np.float32))})
 
     kind = df.schema[key].dataType.simpleString()
     stored = df.where(F.length(column) > 0).select(key, column)
@@ -146,9 +146,9 @@ def pending(signature: str, source: str) -> Column:
 
 def backfill(
     df: DataFrame, fn: Callable[[DataFrame], DataFrame], signature: str = "huella", source: str = "archivo_png",
-    sentinel: Column | None = None, limit: int | None = BACKFILL_ROWS, key: str = "id",
+    sentinel: Column | None = None, limit: int | None = None, key: str = "id",
 ) -> DataFrame:
-    """Compute missing signatures for up to ``limit`` rows by key; ``accion`` tells what happened to each row.
+    """Compute missing signatures (of the first ``limit`` rows by key, if given); ``accion`` tells what happened to each row.
 
     ``fn`` maps the pending rows to ``(key, signature)``. A row it cannot compute receives ``sentinel`` and is not tried
     again. Actions: calculada, sin_tinta, pendiente, sin_cambio.

@@ -468,7 +468,7 @@ def _(t):
     , f AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, bytes,
         lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]+)$', 1)) AS ext FROM archivos)
     SELECT 'extension' AS grupo, ext AS valor, count(*) AS archivos, CAST(sum(bytes) AS BIGINT) AS bytes FROM f GROUP BY ext
-    UNION ALL SELECT * FROM (SELECT 'carpeta', dir, count(*) AS n, CAST(sum(bytes) AS BIGINT) FROM f GROUP BY dir ORDER BY n DESC, dir LIMIT 10)
+    UNION ALL SELECT * FROM (SELECT 'carpeta', dir, count(*) AS n, CAST(sum(bytes) AS BIGINT) FROM f GROUP BY dir)
     UNION ALL SELECT 'total', '', count(*), CAST(sum(bytes) AS BIGINT) FROM f"""))
 def _(t):
     return agg.file_inventory(t.archivos)

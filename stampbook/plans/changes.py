@@ -443,7 +443,7 @@ def _(t):
 
 @query("v4_backfill", w("documentos_emitidos", """
     , p AS (SELECT *, CASE WHEN tipo = 'guia' THEN 'ya' END AS huella, CASE WHEN operacion_id % 5 <> 0 THEN nombre END AS png FROM documentos_emitidos),
-      t AS (SELECT id FROM p WHERE huella IS NULL AND png IS NOT NULL ORDER BY id LIMIT 250)
+      t AS (SELECT id FROM p WHERE huella IS NULL AND png IS NOT NULL)
     SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN CASE WHEN id % 4 = 0 THEN 'sin' ELSE md5(png) END ELSE huella END AS huella,
       CASE WHEN id IN (SELECT id FROM t) THEN CASE WHEN id % 4 = 0 THEN 'sin_tinta' ELSE 'calculada' END WHEN huella IS NULL AND png IS NOT NULL THEN 'pendiente' ELSE 'sin_cambio' END AS accion FROM p"""))
 def _(t):

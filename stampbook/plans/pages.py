@@ -141,10 +141,10 @@ def _(t):
 @query("c3_cited_marks", w("documentos_emitidos escaneos operaciones marcas", _CITED + """
     , n AS (SELECT DISTINCT numero AS numero_guia FROM cit WHERE cod = 'G'),
       u AS (SELECT * FROM marcas WHERE activo AND estado <> 'baja' AND archivo_png IS NOT NULL),
-      r AS (SELECT e.numero_guia, u.id, u.codigo, u.tipo, u.estado FROM u JOIN escaneos e ON e.id = u.escaneo_id
-        UNION SELECT o.numero_guia, u.id, u.codigo, u.tipo, u.estado FROM u JOIN operaciones o ON o.id = u.operacion_id)
-    SELECT numero_guia, id, codigo, tipo, estado, posicion FROM (SELECT r.*, row_number() OVER (PARTITION BY numero_guia
-      ORDER BY CASE WHEN tipo = 'dominante' THEN 0 ELSE 1 END, codigo) AS posicion FROM r JOIN n USING (numero_guia)) WHERE posicion <= 60"""))
+      r AS (SELECT e.numero_guia, u.id, u.codigo, u.tipo, u.estado, u.descripcion FROM u JOIN escaneos e ON e.id = u.escaneo_id
+        UNION SELECT o.numero_guia, u.id, u.codigo, u.tipo, u.estado, u.descripcion FROM u JOIN operaciones o ON o.id = u.operacion_id)
+    SELECT numero_guia, id, codigo, tipo, estado, descripcion, posicion FROM (SELECT r.*, row_number() OVER (PARTITION BY numero_guia
+      ORDER BY CASE WHEN tipo = 'dominante' THEN 0 ELSE 1 END, codigo) AS posicion FROM r JOIN n USING (numero_guia))"""))
 def _(t):
     cited = extract.citations(t.documentos_emitidos, "id")
     return audit.cited_marks(cited, t.marcas, t.escaneos, t.operaciones)
@@ -454,7 +454,7 @@ def _(t):
 _AUDIT = _CITED_NUMBERS + f"""
     , cerca AS (SELECT a.numero_guia, b.numero_guia AS m FROM asig a JOIN asig b ON substr(a.numero_guia, 1, 4) = substr(b.numero_guia, 1, 4)
         AND {_NEAR.format(a='a.numero_guia', b='b.numero_guia')}),
-      tres AS (SELECT numero_guia, string_agg(m, ', ' ORDER BY m) AS m FROM (SELECT *, row_number() OVER (PARTITION BY numero_guia ORDER BY m) AS k FROM cerca) WHERE k <= 3 GROUP BY 1),
+      tres AS (SELECT numero_guia, string_agg(m, ', ' ORDER BY m) AS m FROM cerca GROUP BY 1),
       cert AS (SELECT numero_guia, count(DISTINCT coalesce(nullif(numero_certificado, ''), archivo)) AS c FROM escaneos WHERE numero_guia <> '' GROUP BY 1),
       imp AS (SELECT id, list_sort(list_distinct(regexp_extract_all(texto_ocr, 'GE2\\s*([0-9]{{8}})', 1))) AS l FROM escaneos),
       rep AS (SELECT carpeta, archivo, formato, coalesce(e.numero_guia, '') AS numero_guia, fuente_numero AS fuente, nullif(conf_numero, 0) AS conf,
@@ -506,7 +506,7 @@ def _(t):
 @query("q5_candidates", """
     SELECT user_id AS pagina, event_id AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k <= 6""")
 def _(t):
-    return audit.candidates(t.raw("events").selectExpr("user_id AS pagina", "event_id AS pos"))
+    return audit.candidates(t.raw("events").selectExpr("user_id AS pagina", "event_id AS pos"), n=6)
 
 
 @query("q6_reconcile", _READINGS + """

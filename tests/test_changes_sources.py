@@ -273,3 +273,35 @@ def test_dry_run_writes_nothing(spark, tmp_path):
     assert rows(chg.write_snapshot(plan, str(target), dry_run=True)) == [("actualizada", 1)] and not target.exists()
     chg.write_snapshot(plan, str(target))
     assert rows(spark.read.parquet(str(target))) == [(1, "a")]
+
+
+def test_merge_missing_and_repeated_keys(spark):
+    cur = spark.createDataFrame([(None, "x"), (None, "y"), ("a", "z")], "k string, v string")
+    inc = spark.createDataFrame([(None, "p", 1), (None, "q", 2), ("a", "first", 3), ("a", "last", 4), ("b", "new", 5)], "k string, v string, n int")
+    got = rows(chg.merge(cur, inc, ["k"], ["v"], order="n"), "k", "v", "accion")
+    assert sorted(got, key=str) == sorted([(None, "x", "sin_cambio"), (None, "y", "sin_cambio"), (None, "p", "nueva"), (None, "q", "nueva"), ("a", "last", "actualizada"), ("b", "new", "nueva")], key=str)
+    assert "<=>" not in chg.merge(cur, inc, ["k"], ["v"], order="n")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="repeated incoming key"):
+        chg.merge(cur, inc, ["k"], ["v"]).collect()
+
+
+def test_awkward_sheets(spark, tmp_path):
+    def read(text):
+        path = tmp_path / f"s{len(list(tmp_path.iterdir()))}.csv"
+        path.write_bytes(text.encode())
+        return delimited.map_columns(delimited.read_delimited(spark, str(path)))
+
+    df, report = read(';;;\nCódigo;Código;;Dueño;Otro\nA1;A2;x;"Ana\nMaría; ""la"" vieja";o\n;;;;\nB1;;;Luis;\n')
+    assert sorted(map(tuple, df.select("codigo", "propietario").collect())) == [("A1", 'Ana\nMaría; "la" vieja'), ("B1", "Luis")]
+    assert report == {"reconocidas": {"codigo": "Código", "propietario": "Dueño"}, "ignoradas": ["Otro"]}
+    df, _ = read("codigo, nombre\tpropietario\nx\ty\nz\tw\n".replace("codigo, nombre", "codigo"))
+    assert df.count() == 2
+    df, _ = read("codigo,detalle\nM-1,a;b;c\nM-2,d\n")
+    assert sorted(map(tuple, df.collect())) == [("M-1", "a;b;c"), ("M-2", "d")]
+
+
+def test_folding_covers_unicode(spark):
+    from stampbook.functions.text import ascii_fold
+
+    df = spark.createDataFrame([("Ⅷ ① m⁴ ⑩ ﬁ 𝐀 ñ 中 ㎏",)], "t string")
+    assert df.select(ascii_fold(F.col("t"))).first()[0] == "VIII 1 m4 10 fi A n  kg"

@@ -54,7 +54,10 @@ def test_citations(spark):
             " (G) sinnumero\nFactura de venta (G) 99999999")
     rows = extract.parse_citations(spark.createDataFrame([(text,), ("Rubro 5 (G) 12345678",), ("Rubro 4 Respaldo (G) 1 " + "x" * 4000 + "(G) 2",)], "texto string")).collect()
     assert [tuple(c) for c in rows[0].respaldo] == [("B", "ACX492", None), ("G", "90947260", "27/01/2025"), ("G", "90959498", "13/02/2025"), ("G", "90959493", "13/02/2025")]
-    assert rows[1].respaldo == [] and [c.numero for c in rows[2].respaldo] == ["1"]
+    assert rows[1].respaldo == [] and [c.numero for c in rows[2].respaldo] == ["1", "2"]
+    long = "Rubro 4 Respaldo " + " ".join(f"(G) {90000000 + i % 500} 27/01/2025" for i in range(600))
+    once, cut = (extract.parse_citations(spark.createDataFrame([(long,)], "texto string"), window=w).first().respaldo for w in (None, 4000))
+    assert [c.numero for c in once] == [str(90000000 + i) for i in range(500)] and 100 < len(cut) < 400
 
 
 def test_validate_citations_and_cited_marks(spark):
