@@ -138,8 +138,9 @@ def guide_detail(pages: DataFrame, marks: DataFrame, ops: DataFrame) -> dict[str
 def cited_facts(cited: DataFrame, pages: DataFrame, ops: DataFrame) -> DataFrame:
     """Pages, first page and number of operations of each cited number."""
     numbers = cited.where(F.col("cod") == "G").select(F.col("numero").alias("numero_guia")).distinct()
-    p = pages.groupBy("numero_guia").agg(F.count(F.lit(1)).alias("paginas"), F.min("id").alias("primer_escaneo"))
-    o = visible(ops).groupBy("numero_guia").agg(F.count(F.lit(1)).alias("operaciones"), F.min("id").alias("primera_operacion"))
+    p = pages.select("numero_guia", "id").join(numbers, "numero_guia", "left_semi")
+    p = p.groupBy("numero_guia").agg(F.count(F.lit(1)).alias("paginas"), F.min("id").alias("primer_escaneo"))
+    o = visible(ops).select("numero_guia", "id").join(numbers, "numero_guia", "left_semi").groupBy("numero_guia").agg(F.count(F.lit(1)).alias("operaciones"), F.min("id").alias("primera_operacion"))
     return (
         numbers.join(p, "numero_guia", "left").join(o, "numero_guia", "left")
         .select(
@@ -149,6 +150,13 @@ def cited_facts(cited: DataFrame, pages: DataFrame, ops: DataFrame) -> DataFrame
     )
 
 
+def cited_operations(cited: DataFrame, ops: DataFrame) -> DataFrame:
+    """The ids of the operations of every cited number, in order, in long form: (numero_guia, posicion, operacion_id)."""
+    numbers = cited.where(F.col("cod") == "G").select(F.col("numero").alias("numero_guia")).distinct()
+    found = visible(ops).select("numero_guia", F.col("id").alias("operacion_id")).join(numbers, "numero_guia", "left_semi")
+    return ranked(found, ["numero_guia"], ["operacion_id"], "posicion").select("numero_guia", "posicion", "operacion_id")
+
+
 def operation_manifest(ops: DataFrame, marks: DataFrame, list_size: int = 1_000) -> DataFrame:
     """File name and nested marks of every operation that has marks. A list longer than ``list_size`` continues on
     further rows (``parte`` 0, 1, …)."""

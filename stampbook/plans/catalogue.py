@@ -519,6 +519,20 @@ def _(t):
     return audit.dominant_conflicts(t.marcas, t.marcas.where("estado = 'activa'"))
 
 
+@query("x5_snapshot_large", """
+    SELECT l_suppkey AS operacion_id, count(*) AS cantidad_marcas, count(*) > 150 AS rechazado, count(*) AS en_lista,
+      CAST(min(l_orderkey * 10 + l_linenumber) AS STRING) AS primera FROM lineitem GROUP BY 1""")
+def _(t):
+    lines = t.raw("lineitem").selectExpr("l_suppkey AS operacion_id", "l_orderkey * 10 + l_linenumber AS pos")
+    code = F.col("pos").cast("string")
+    stamped = lines.select("operacion_id", "pos", code.alias("codigo"), F.lit("dominante").alias("tipo"), code.alias("descripcion"), F.lit("p").alias("propietario"))
+    ops = lines.select(F.col("operacion_id").alias("id"), F.lit("1").alias("numero_guia")).distinct()
+    return snapshot(ops, stamped).select(
+        "operacion_id", "cantidad_marcas", "rechazado", F.json_array_length("marcas").cast("long").alias("en_lista"),
+        F.get_json_object("marcas", "$[0].codigo").alias("primera"),
+    )
+
+
 @query("x5_snapshot", w("operaciones marcas propietarios", """
     , s AS (SELECT m.operacion_id, count(*) AS n, string_agg(
         CASE WHEN p.nombre IS NULL THEN '{"codigo":"' || m.codigo || '","tipo":"' || tipo || '","descripcion":"' || descripcion || '","propietario":null}'

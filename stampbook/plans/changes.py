@@ -64,6 +64,39 @@ def _(t):
     return chg.merge(cur, inc, ["id"], ["numero_guia", "revisar"], policy="missing", stamp="actualizado", now=F.lit("2024-05-05"))
 
 
+@query("u1_merge_missing_keys", w("operaciones", """
+    SELECT id, CASE WHEN id % 2 = 0 THEN 'n' ELSE numero_guia END AS numero_guia, CASE WHEN id % 2 = 0 THEN 'actualizada' ELSE 'sin_cambio' END AS accion
+    FROM operaciones WHERE id % 3 <> 0 UNION ALL SELECT NULL, numero_guia, 'sin_cambio' FROM operaciones WHERE id % 3 = 0
+    UNION ALL SELECT CASE WHEN id % 2 = 0 THEN id END, 'n', 'nueva' FROM operaciones WHERE id % 2 <> 0 OR id % 3 = 0"""))
+def _(t):
+    cur = t.operaciones.selectExpr("CASE WHEN id % 3 <> 0 THEN id END AS id", "numero_guia")
+    inc = t.operaciones.selectExpr("CASE WHEN id % 2 = 0 THEN id END AS id", "'n' AS numero_guia")
+    return chg.merge(cur, inc, ["id"], ["numero_guia"])
+
+
+@query("u1_merge_repeated_keys", """
+    WITH i AS (SELECT user_id AS id, arg_max(event_type, event_id) AS valor FROM events GROUP BY 1)
+    SELECT coalesce(c_custkey, i.id) AS id, coalesce(i.valor, c_name) AS valor,
+      CASE WHEN c_custkey IS NULL THEN 'nueva' WHEN i.id IS NULL THEN 'sin_cambio' ELSE 'actualizada' END AS accion FROM customer FULL JOIN i ON i.id = c_custkey""")
+def _(t):
+    cur = t.raw("customer").selectExpr("c_custkey AS id", "c_name AS valor")
+    return chg.merge(cur, t.raw("events").selectExpr("user_id AS id", "event_type AS valor", "event_id"), ["id"], ["valor"], order="event_id")
+
+
+@query("u4_batch_without_file", w("marcas", """
+    SELECT codigo, NULL AS origen_archivo, 'activa' AS estado, 'sin_cambio' AS accion FROM marcas WHERE estado = 'activa'
+    UNION ALL SELECT concat('lote-', id), NULL, CASE WHEN sospechosa_calidad THEN 'revisar' ELSE 'activa' END, 'nueva' FROM marcas"""))
+def _(t):
+    none = F.lit(None).cast("string")
+    cur = t.marcas.where("estado = 'activa'").select(none.alias("origen_archivo"), "codigo", "estado")
+    ops = t.operaciones.select("id", "numero_guia", "vendedor_nombre", "vendedor_documento")
+    cur_ops = ops.where("false").selectExpr("'' AS origen", "id AS origen_id", "numero_guia")
+    marks = t.marcas.select("id", "operacion_id", none.alias("archivo_imagen"), "sospechosa_calidad")
+    files = t.marcas.where("false").selectExpr("codigo AS nombre", "codigo AS path", "1 AS carpeta_n")
+    loaded = chg.import_batch(cur_ops, cur, t.propietarios.select("id", "nombre", "documento"), ops, marks, files, "lote")
+    return loaded["marcas"].select("codigo", "origen_archivo", "estado", "accion")
+
+
 @query("u16_dry_run_counts", w("operaciones", _SLICES + f" SELECT {_ACTION} AS accion, count(*) AS n FROM j GROUP BY 1"))
 def _(t):
     return chg.write_snapshot(chg.merge(*_slices(t), ["id"], ["numero_guia"]), "not-written", dry_run=True)
@@ -402,8 +435,9 @@ _UNIT = """
 
 
 @query("v1_unit", w("huellas", _UNIT + """
-    SELECT id, round(list_sum(list_transform(z, lambda x: x * x)) / list_sum(list_transform(z, lambda x: x * x)), 6) AS norma, round(z[1] / sqrt(list_sum(list_transform(z, lambda x: x * x))), 6) AS primero,
-      round(z[64] / sqrt(list_sum(list_transform(z, lambda x: x * x))), 6) AS ultimo FROM c"""))
+    , n AS (SELECT *, sqrt(list_sum(list_transform(z, lambda x: x * x))) AS largo FROM c)
+    SELECT id, round(list_sum(list_transform(z, lambda x: (x / largo) * (x / largo))), 6) AS norma, round(z[1] / sqrt(list_sum(list_transform(z, lambda x: x * x))), 6) AS primero,
+      round(z[64] / sqrt(list_sum(list_transform(z, lambda x: x * x))), 6) AS ultimo FROM n"""))
 def _(t):
     u = t.huellas.select("id", sim.unit(F.col("v")).alias("u"))
     return u.select(

@@ -126,6 +126,13 @@ def _(t):
     return guides.cited_facts(extract.citations(t.documentos_emitidos, "id"), t.escaneos, t.operaciones)
 
 
+@query("g5_cited_operations", w("documentos_emitidos operaciones", _CITED + """
+    SELECT numero_guia, row_number() OVER (PARTITION BY numero_guia ORDER BY id) AS posicion, id AS operacion_id
+    FROM operaciones WHERE activo AND numero_guia IN (SELECT numero FROM cit WHERE cod = 'G')"""))
+def _(t):
+    return guides.cited_operations(extract.citations(t.documentos_emitidos, "id"), t.operaciones)
+
+
 @query("c2_validate_citations", w("documentos_emitidos escaneos operaciones", _CITED + """
     , p AS (SELECT numero_guia, count(*) AS paginas, min(id) AS primer_escaneo FROM escaneos WHERE numero_guia IS NOT NULL GROUP BY 1),
       o AS (SELECT numero_guia, count(*) AS operaciones, min(id) AS primera_operacion FROM operaciones WHERE activo GROUP BY 1)
@@ -365,6 +372,14 @@ def _(t):
     return parsed.select("id", F.array_join(flat, ";").alias("citas"))
 
 
+@query("x4_parse_citations_long", """
+    SELECT c_custkey AS id, 500 AS citas, CAST(90000500 + c_custkey AS STRING) AS ultima FROM customer""")
+def _(t):
+    listed = "array_join(transform(sequence(1, 600), i -> concat('(G) ', CAST(90000001 + (i - 1) % 500 + c_custkey AS STRING), ' 27/01/2025')), ' ')"
+    parsed = extract.parse_citations(t.raw("customer").selectExpr("c_custkey AS id", f"concat('Rubro 4 Respaldo ', {listed}) AS texto"))
+    return parsed.select("id", F.size("respaldo").alias("citas"), F.element_at("respaldo", -1)["numero"].alias("ultima"))
+
+
 _ROLE_TEXT = (
     "concat(CASE role WHEN 'system' THEN 'Guia de Traslado y Transferencia de Ganado ' WHEN 'user' THEN 'Anexo ' ELSE 'Boleta ' END,"
     " CASE turn % 3 WHEN 0 THEN 'TRIPLICADO' WHEN 1 THEN 'sin nombre' ELSE 'hoja duplicado y original' END)"

@@ -25,6 +25,15 @@ def pending_items(source: DataFrame, done: DataFrame | None, key: list[str]) ->
     return source if done is None else source.join(done.select(*key).distinct(), key, "left_anti")
 
 
+def open_errors(spark: SparkSession, sink: str, dead_letter: str, key: list[str]) -> DataFrame | None:
+    """The latest error of every key that the output still lacks."""
+    failed = _existing(spark, dead_letter)
+    if failed is None:
+        return None
+    timed = failed.select(*key, "error", F.col("_metadata.file_modification_time").alias("_at"))
+    return pending_items(timed.groupBy(*key).agg(F.max_by("error", "_at").alias("error")), _existing(spark, sink), key)
+
+
 def ingest_incremental(
     source: DataFrame, sink: str, key: list[str], process: Callable[[DataFrame], DataFrame], dead_letter: str
 ) -> dict[str, int]:

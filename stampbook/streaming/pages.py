@@ -13,10 +13,17 @@ from stampbook.operators.changes import PAGE_KEY, protected_upsert
 def _store(batch: DataFrame, batch_id: int, sink: str, dead_letter: str, key: list[str], order: str) -> None:
     rest = [c for c in batch.columns if c not in (*key, "error")]
     good = batch.where(F.col("error").isNull()).groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    batch.persist()  # both writes read the same rows
     # a repeated batch overwrites its own folder, so every key is stored once per batch
     good.select(*key, "_r.*").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
     failed = batch.where(F.col("error").isNotNull()).select(*key, "error")
     failed.write.mode("overwrite").parquet(f"{dead_letter}/batch={batch_id}")
+    batch.unpersist()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def stream_ingest(
@@ -25,8 +32,11 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Read new files of ``source`` until none is left. ``schema`` carries an ``error`` column for failed pages.
 
-    ``checkpoint`` and ``sink`` belong together: batch folders are named by the checkpoint's batch numbers.
+    ``checkpoint`` and ``sink`` belong together: batch folders are named by the checkpoint's batch numbers. A new checkpoint
+    would start from batch 0 and overwrite stored batches, so it is refused where the sink holds any.
     """
+    if _exists(spark, sink) and not _exists(spark, checkpoint):
+        raise ValueError(f"{sink} holds batches of another checkpoint")
     keys = key or PAGE_KEY
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     return (
