@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,24 @@ def marks_per_guide(guides: DataFrame, pages: DataFrame, marks: DataFrame) -> Da
         .groupBy(F.col("escaneo_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
     )
     per_guide = (
-        pages.where(F.col("numero_guia").isNotNull()).select("id", "numero_guia").join(per_page, "id", "inner")
+        pages.select("id", "numero_guia").join(guides.select("numero_guia"), "numero_guia", "left_semi").join(per_page, "id", "inner")
         .groupBy("numero_guia").agg(F.sum("_n").alias("_marcas"))
     )
     return guides.join(per_guide, "numero_guia", "left").withColumn("marcas", F.coalesce("_marcas", F.lit(0))).drop("_marcas")
 
 
+def list_guides_page(
+    pages: DataFrame, marks: DataFrame, text: str | None = None, formato: str | None = None, carpeta: int | None = None,
+    page: int = 1, size: int = PAGE_SIZES["guias"],
+) -> Page:
+    """One page of :func:`list_guides`: its numbers are cut first, and only their pages are consolidated."""
+    hit = page_filter(text, formato, carpeta)
+    numbers = pages.where(F.col("numero_guia").isNotNull() & hit).select("numero_guia").distinct()
+    found = paginate(numbers, ["numero_guia"], page, size, clamp=False)
+    shown = pages.join(F.broadcast(found.rows), "numero_guia", "left_semi")  # size numbers
+    return replace(found, rows=marks_per_guide(consolidate_guides(shown), shown, marks).orderBy("numero_guia"))
+
+
 def list_guides(
     pages: DataFrame, marks: DataFrame, text: str | None = None, formato: str | None = None, carpeta: int | None = None
 ) -> DataFrame:

@@ -3,6 +3,8 @@ them and broadcasts only what is small, and splits skewed partitions otherwise."
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,31 +25,47 @@ def with_relations(marks: DataFrame, owners: DataFrame, ops: DataFrame) -> DataF
     return lookup(lookup(marks, p, "propietario_id", "codigo"), o, "operacion_id", "codigo")
 
 
-def search_marks(
+def matching_marks(
     marks: DataFrame, owners: DataFrame, ops: DataFrame, pages: DataFrame | None = None, text: str | None = None,
     estado: str | None = None, tipo: str | None = None, hidden: bool = False, motivo: str | None = None,
     sin_baja: bool = False, carpeta: int | None = None, ids=None,
 ) -> DataFrame:
-    """Filtered marks with relations; the free text also matches the owner, the operation and the page number.
+    """Filtered marks; the free text also matches the owner, the operation and the page number.
 
-    Without ``pages`` the page number and the origin label are left out of the search, as exports do.
+    Each relation is reduced to the ids that hold the text, so only those meet the marks. Without ``pages`` the page number
+    and the origin label are left out of the search, as exports do.
     """
     found = facets(visible(marks, hidden), MARK_FACETS, estado=estado, tipo=tipo, carpeta=carpeta)
     found = by_keys(reason_prefix(found, motivo), "id", ids)
     if sin_baja:
         found = found.where(F.col("estado") != "baja")
-    joined = with_relations(found, owners, ops)
     if not (text or "").strip():
-        return joined
-    cols = ["codigo", "operaciones.numero_guia", "propietarios.nombre", "propietarios.documento"]
-    if pages is None:
-        return joined.where(contains_text(text, cols))
-    numbers = pages.select(F.col("id").alias("escaneo_id"), F.col("numero_guia").alias("_numero_pagina"))
-    return (
-        lookup(joined, numbers, "escaneo_id", "codigo")
-        .where(contains_text(text, cols + ["origen_etiqueta", "_numero_pagina"]))
-        .drop("_numero_pagina")
-    )
+        return found
+    hit = contains_text(text, ["codigo"] if pages is None else ["codigo", "origen_etiqueta"])
+    related = [("propietario_id", owners, ["nombre", "documento"]), ("operacion_id", ops, ["numero_guia"])]
+    if pages is not None:
+        related.append(("escaneo_id", pages, ["numero_guia"]))
+    flags = []
+    for key, side, cols in related:
+        held = side.where(contains_text(text, cols)).select(F.col("id").alias(key), F.lit(True).alias(f"_by_{key}"))
+        found = lookup(found, held, key, "codigo")
+        flags.append(f"_by_{key}")
+        hit = hit | F.coalesce(f"_by_{key}", F.lit(False))
+    return found.where(hit).drop(*flags)
+
+
+def search_marks(marks: DataFrame, owners: DataFrame, ops: DataFrame, pages: DataFrame | None = None, **filters) -> DataFrame:
+    """The marks of :func:`matching_marks` with their relations."""
+    return with_relations(matching_marks(marks, owners, ops, pages, **filters), owners, ops)
+
+
+def search_marks_page(
+    marks: DataFrame, owners: DataFrame, ops: DataFrame, pages: DataFrame | None = None, page: int = 1,
+    size: int = PAGE_SIZES["marcas"], **filters,
+) -> Page:
+    """One page of the search: the marks of the page are cut first, and only they meet their relations."""
+    found = mark_page(matching_marks(marks, owners, ops, pages, **filters), page, size)
+    return replace(found, rows=with_relations(found.rows, owners, ops).orderBy("codigo"))
 
 
 def mark_page(found: DataFrame, page: int = 1, size: int = PAGE_SIZES["marcas"]) -> Page:

@@ -252,9 +252,9 @@ _SEARCH = """
 
 @query("j2_search_marks", w("marcas propietarios operaciones escaneos", _SEARCH))
 def _(t):
-    found = rel.search_marks(t.marcas, t.propietarios, t.operaciones, t.escaneos, text="250", tipo="dominante", sin_baja=True)
+    found = rel.search_marks_page(t.marcas, t.propietarios, t.operaciones, t.escaneos, page=2, text="250", tipo="dominante", sin_baja=True)
     return page_frame(
-        rel.mark_page(found, 2), "id", "codigo", "estado", "tipo", F.col("propietarios.nombre").alias("propietario"),
+        found, "id", "codigo", "estado", "tipo", F.col("propietarios.nombre").alias("propietario"),
         "operaciones.numero_guia",
     )
 

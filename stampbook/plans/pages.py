@@ -49,8 +49,8 @@ _LISTING = (
 
 @query("g1_list_guides_page", w("escaneos marcas", _LISTING))
 def _(t):
-    found = guides.list_guides(t.escaneos, t.marcas, text="en", formato="SENACSA_CERTIFICADO")
-    return _flat_formats(page_frame(guides.guide_listing_page(found))).select(*_GUIDE_COLS.split(", "), "marcas", "total")
+    found = guides.list_guides_page(t.escaneos, t.marcas, text="en", formato="SENACSA_CERTIFICADO")
+    return _flat_formats(page_frame(found)).select(*_GUIDE_COLS.split(", "), "marcas", "total")
 
 
 @query("g1_guide_pages", w("escaneos", """
