@@ -7,9 +7,12 @@
     and sets that only share a passage rarely meet. Sizes are handled in bands; a set is listed in its own band and the one below.
     Empty blocks say nothing: a set with one is listed once more under another cut (both sides of a pair agree on the first cut
     in which either has none), so empty blocks need no list.
-3.  Answers are derived, not recomputed: per list, members are compared with one pivot only. Those that link to it join its class,
-    and from then on pairs within a class are skipped. Lists that still hold several classes go on with another pivot; what is
-    left after some rounds is compared in full. A pair is compared once, exactly, by its whole sets.
+3.  Answers are derived, not recomputed: per list, members are compared with one pivot only, the one that stands in the most
+    and longest lists. What tells a member x from the pivot p is its difference D(x). Two members of one list can only be similar
+    without both being linked to p if their differences overlap in at least (|D(x)| + |D(y)| - d) / 2 shingles. So an index over
+    the first d + 1 shingles of the differences (those that p lacks first) finds all pairs left, and the places at which
+    two differences first meet bound their overlap, which skips the rest of a list. Pairs within a class are skipped.
+    What is found is compared by whole sets.
 """
 
 from __future__ import annotations
@@ -24,8 +27,6 @@ from pyspark.sql import functions as F
 from stampbook.llm.common import written
 from stampbook.llm.textbytes import BASE, LOWER, Prefix, Words, buffer, mix, slices
 
-#: Rounds with one pivot per list before all pairs that are left are compared.
-PIVOT_ROUNDS = 4
 MAX_CUTS = 64
 
 
@@ -140,8 +141,9 @@ def _lists(n: int, percent: int):
     return run
 
 
-def _similar(n: int, percent: int):
-    """Pairs whose whole sets reach the threshold."""
+def _compare(n: int, percent: int):
+    """For pairs (a, b) with their texts: whether they are similar, the size of b, the size of their difference, and, where
+    ``wide``, the first shingles of the difference in the order: not in a, in a, then by hash."""
 
     def run(batches):
         for batch in batches:
@@ -149,13 +151,26 @@ def _similar(n: int, percent: int):
                 a, fa = shingle_sets(part.column("text_a"), n)
                 b, fb = shingle_sets(part.column("text_b"), n)
                 rows = np.arange(part.num_rows)
-                owner = np.concatenate([np.repeat(rows, np.diff(fa)), np.repeat(rows, np.diff(fb))])
-                order = np.lexsort((np.concatenate([a, b]), owner))
-                h, o = np.concatenate([a, b])[order], owner[order]
-                both = np.bincount(o[1:][(h[1:] == h[:-1]) & (o[1:] == o[:-1])], minlength=part.num_rows)
-                union = np.diff(fa) + np.diff(fb) - both
-                ok = pa.array((100 * both >= percent * union) & (union > 0))
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], ["a", "b"])
+                na, nb = np.diff(fa), np.diff(fb)
+                owner = np.concatenate([np.repeat(rows, na), np.repeat(rows, nb)])
+                hashes, old = np.concatenate([a, b]), np.arange(len(a) + len(b)) < len(a)
+                order = np.lexsort((hashes, owner))
+                h, o, old = hashes[order], owner[order], old[order]
+                twin = np.zeros(len(h) + 1, bool)
+                twin[1:-1] = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+                alone = ~(twin[1:] | twin[:-1])
+                differ = np.bincount(o[alone], minlength=part.num_rows)
+                both = (na + nb - differ) // 2
+                similar = (100 * both >= percent * (both + differ)) & (na + nb > 0)
+                wide = part.column("wide").to_numpy(zero_copy_only=False)
+                pick = np.flatnonzero(alone & wide[o])
+                pick = pick[np.lexsort((h[pick], old[pick], o[pick]))]
+                begin = np.searchsorted(o[pick], rows)
+                most = nb * (100 - percent) // percent + 1  # one more than b can differ from any set similar to it
+                pick = pick[np.arange(len(pick)) - begin[o[pick]] < most[o[pick]]]
+                ends = np.searchsorted(o[pick], np.arange(part.num_rows + 1)).astype(np.int32)
+                first = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[pick].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similar), pa.array(nb), pa.array(differ), first], ["a", "b", "similar", "size", "differ", "first"])
 
     return run
 
@@ -183,44 +198,54 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole texts."""
+    """Pairs (a, b, wide) compared by their whole texts."""
     of = lambda c: texts.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_similar(n, percent), "a long, b long")
-
-
-def links(rows: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between ids of different sets that leave the same classes as all links would; None if there are none."""
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "wide", "text_a", "text_b")
+    return both.mapInArrow(_compare(n, percent), "a long, b long, similar boolean, size long, differ long, first array<long>")
+
+
+def _derived(found: DataFrame, classes: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets compared with one pivot that may be similar, of different classes, by their differences to it."""
+    members = found.where(F.size("first") > 0).select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "size", "differ", F.posexplode("first").alias("place", "shingle"))
+    if classes is None:
+        members = members.withColumn("class", F.col("sid"))
+    else:
+        members = members.join(classes, F.col("sid") == F.col("id"), "left").drop("id").withColumn("class", F.coalesce("class", "sid"))
+    members = written(members, "differences")
+    key = ["pivot", "shingle"]
+    mixed = members.groupBy(key).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(key)
+    members = written(members.join(written(mixed, "mixed"), key), "differences")
+    kinds = members.select(*key, "class").distinct()
+    kinds = written(kinds.join(kinds.withColumnRenamed("class", "other_class"), key).where("class < other_class"), "kinds")
+    other = members.select(*key, F.col("class").alias("other_class"), F.col("sid").alias("o_sid"), F.col("size").alias("o_size"), F.col("differ").alias("o_differ"), F.col("place").alias("o_place"))
+    most = F.floor((F.col("size") + F.col("o_size")) * (100 - percent) / (100 + percent) + F.lit(1e-9))  # by how much similar sets of these sizes differ
+    overlap = F.least(F.col("differ") - F.col("place"), F.col("o_differ") - F.col("o_place"))
+    fits = (2 * overlap >= F.col("differ") + F.col("o_differ") - most) & (F.abs(F.col("size") - F.col("o_size")) <= most)
+    pairs = kinds.join(members, [*key, "class"]).join(other, [*key, "other_class"]).where(fits)
+    return pairs.select(F.least("sid", "o_sid").alias("a"), F.greatest("sid", "o_sid").alias("b"), F.lit(False).alias("wide")).distinct()
+
+
+def linked_classes(rows: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """id, class for every set that is linked with a different one; None if there is none."""
     listed = rows.select("text").mapInArrow(_lists(n, percent), "key long, sid long")
     meets = written(listed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key"), "meets")
-    members = written(listed.join(meets.hint("shuffle_hash"), "key").distinct().withColumn("class", F.col("sid")), "lists")
-    needed = members.select("sid").distinct()
-    texts = rows.select("text").mapInArrow(_texts(n), "sid long, text string").join(written(needed, "needed").hint("shuffle_hash"), "sid")
+    members = written(listed.join(meets.hint("shuffle_hash"), "key").distinct(), "lists")
+    texts = rows.select("text").mapInArrow(_texts(n), "sid long, text string").join(written(members.select("sid").distinct(), "needed").hint("shuffle_hash"), "sid")
     texts = written(texts.groupBy("sid").agg(F.min("text").alias("text")), "texts")
 
-    edges = done = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        first = F.xxhash64("sid", F.lit(turn))  # another pivot each time
-        open_ = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("sid", first).alias("pivot"))
-        open_ = written(open_.where("low < high").select("key", "pivot"), "open")
-        members = written(members.join(open_, "key").select("key", "sid", "class", "pivot"), "members")
-        if turn < PIVOT_ROUNDS:
-            other = members.where("sid = pivot").select("key", F.col("sid").alias("other"), F.col("class").alias("other_class"))
-        else:
-            other = members.select("key", F.col("sid").alias("other"), F.col("class").alias("other_class"))
-        pairs = members.join(other, "key").where("class <> other_class").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-        members = members.drop("pivot")
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = written(_compared(pairs, texts, n, percent), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        if turn < PIVOT_ROUNDS:
-            classes = components(edges)
-            members = members.drop("class").join(classes, F.col("sid") == F.col("id"), "left").select("key", "sid", F.coalesce("class", "sid").alias("class"))
-    return edges
+    sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    weights = written(members.join(sizes, "key").groupBy("sid").agg(F.sum("n").alias("weight")), "weights")
+    pivots = members.join(weights, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("pivot")).select("key", F.col("pivot.sid").alias("a"))
+    pairs = members.join(written(pivots, "pivots"), "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    wide = pairs.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("wide"))  # a pivot of one other set has nothing to derive
+    found = written(_compared(pairs.join(written(wide, "wide"), "a"), texts, n, percent), "found")
+    edges = found.where("similar").select("a", "b")
+    classes = None if edges.isEmpty() else written(components(edges), "classes")
+    more = written(_compared(written(_derived(found, classes, percent), "derived"), texts, n, percent), "more").where("similar").select("a", "b")
+    if not more.isEmpty():
+        classes = written(components(edges.unionByName(more)), "classes")
+    return classes
 
 
 def near_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -234,10 +259,9 @@ def near_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = written(rows.mapInArrow(_sets(n), "doc_id long, sid long, size long, text_hash long"), "sets")
-    edges = links(rows, n, percent)
+    classes = linked_classes(rows, n, percent)
     ids = sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("low")).withColumn("class", F.col("sid"))
-    if edges is not None:
-        classes = written(components(edges), "classes")
+    if classes is not None:
         ids = ids.drop("class").join(classes, F.col("sid") == F.col("id"), "left").select("sid", "low", F.coalesce("class", "sid").alias("class"))
         ids = written(ids, "ids")
         ids = ids.join(written(ids.groupBy("class").agg(F.min("low").alias("least")), "least"), "class").select("sid", F.col("least").alias("low"), "class")
