@@ -25,3 +25,10 @@ def prose(seed, n, vocabulary=400):
     r = random.Random(seed)
     words = ["".join(r.choice("abcdeghilmnorstu") for _ in range(r.randint(2, 8))) for _ in range(vocabulary)]
     return " ".join(r.choice(words) for _ in range(n))
+
+
+def speech(language, seed, n, vocabulary=900):
+    """Different texts over the same words."""
+    words = prose(language, 4 * vocabulary, vocabulary).split()
+    r = random.Random(seed)
+    return " ".join(r.choice(words) for _ in range(n))

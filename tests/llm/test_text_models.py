@@ -13,7 +13,7 @@ from stampbook.llm import decontaminate, language_model
 from stampbook.llm.decontaminate import common_subsequence, contaminated
 from stampbook.llm.divergence import counted, quality
 from stampbook.llm.language_model import classified, perplexities
-from support import WORD, documents, prose
+from support import WORD, documents, prose, speech
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LABELS = "doc_id long, quality int, toxic int"
@@ -115,11 +115,11 @@ def items(spark, texts):
 def test_decontamination_finds_planted_passages(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 8)  # several blocks
     r = random.Random(4)
-    bench = [prose(i % 3, r.randint(15, 60), 900) + ". The " + prose(200 + i, 5, 900) + "." for i in range(20)]
-    bench += [None, "", "...", prose(500, 150, 900)]
+    bench = [speech(i % 3, i, r.randint(15, 60)) + ". The " + speech(i % 3, 200 + i, 5) + "." for i in range(20)]
+    bench += [None, "", "...", speech(1, 500, 150)]
     rows, planted = [], {}
     for i in range(120):
-        words = prose(i % 3, r.randint(1, 300), 900).split()
+        words = speech(i % 3, 1000 + i, r.randint(1, 300)).split()
         kind = i % 4
         if kind < 3 and i % 5 == 0:
             k = r.randrange(20)
@@ -134,7 +134,7 @@ def test_decontamination_finds_planted_passages(spark, monkeypatch):
             words[at:at] = w
             planted[i] = k
         rows.append((i, " ".join(words)))
-    rows += [(200, None), (201, ""), (202, bench[-1]), (203, "one two " + " ".join(bench[3].split()[:4])), (None, bench[0]), (204, prose(1, 9000, 900) + " " + bench[7])]
+    rows += [(200, None), (201, ""), (202, bench[-1]), (203, "one two " + " ".join(bench[3].split()[:4])), (None, bench[0]), (204, speech(1, 3000, 9000) + " " + bench[7])]
     got = contaminated(documents(spark, rows), items(spark, bench)).collect()
     assert len(got) == len(rows)
     found = {x.doc_id: x.item_id for x in got if x.contaminated}
