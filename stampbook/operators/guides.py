@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stampbook.operators.filters import contains_text, text_search, visible
 from stampbook.operators.ordering import Key, packed, ranked
-from stampbook.operators.paging import Page, paginate
+from stampbook.operators.paging import Page, in_order, paginate
 from stampbook.operators.relations import groups_matching
 from stampbook.schemas import CERTIFICADO, FORMATOS, PAGE_SIZES
 
@@ -91,7 +91,7 @@ def list_guides_page(
     numbers = pages.where(F.col("numero_guia").isNotNull() & hit).select("numero_guia").distinct()
     found = paginate(numbers, ["numero_guia"], page, size, clamp=False)
     shown = pages.join(F.broadcast(found.rows), "numero_guia", "left_semi")  # size numbers
-    return replace(found, rows=marks_per_guide(consolidate_guides(shown), shown, marks).orderBy("numero_guia"))
+    return replace(found, rows=in_order(marks_per_guide(consolidate_guides(shown), shown, marks), "numero_guia"))
 
 
 def list_guides(

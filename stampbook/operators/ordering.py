@@ -67,7 +67,7 @@ def _after(order: list[Key], row: Column, pivot: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _join_on(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
     """Null-safe equi-join that keeps the left copy of the key columns."""
     renamed = right.select(*[F.col(n).alias(f"_r_{n}") for n in names], *[c for c in right.columns if c not in names])
     cond = reduce(lambda a, b: a & b, [left[n].eqNullSafe(renamed[f"_r_{n}"]) for n in names])
@@ -105,7 +105,7 @@ def _with_pieces(df: DataFrame, keys: list[str], order: list[Key], hot_rows: int
     sample = df.sample(fraction=min(1.0, SAMPLES_PER_PIECE / target), seed=17)
     names = [k.name for k in order]
     drawn = (
-        _join_on(sample.select(*dict.fromkeys(keys + names)), F.broadcast(hot), keys, "inner")
+        null_safe_join(sample.select(*dict.fromkeys(keys + names)), F.broadcast(hot), keys, "inner")
         .groupBy(*keys, F.struct(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)]).alias("_v"), "_n")
         .agg(F.count(F.lit(1)).alias("_w"))
         .orderBy(*keys, *[_field_sort(k, i) for i, k in enumerate(order)])
@@ -139,7 +139,7 @@ def _with_pieces(df: DataFrame, keys: list[str], order: list[Key], hot_rows: int
     block = F.size(F.filter("_coarse", lambda s: _after(order, row, s)))
     inside = F.coalesce(F.try_element_at("_fine", block + 1), F.array().cast(T.ArrayType(value_type)))
     piece = block * FINE + F.size(F.filter(inside, lambda s: _after(order, row, s)))
-    tagged = _join_on(df, splits_frame, keys, "left")
+    tagged = null_safe_join(df, splits_frame, keys, "left")
     return tagged.withColumn("_piece", F.when(F.col("_coarse").isNull(), -1).otherwise(piece)).drop("_coarse", "_fine")
 
 
@@ -222,7 +222,7 @@ def scan(df: DataFrame, keys, order, outputs: dict, hot_rows: int | None = None,
             state.append(F.lead(s).over(carried).alias(f"_c_{n}"))
     edges = local.where((F.col("_piece") >= 0) & ((F.col("_rn") == 1) | F.col("_end"))).groupBy(*keys, "_piece").agg(*edge)
     carry = F.broadcast(edges.select(*keys, "_piece", *state))
-    joined = _join_on(local, carry, keys + ["_piece"], "left")
+    joined = null_safe_join(local, carry, keys + ["_piece"], "left")
     out = []
     for n, (k, _) in outputs.items():
         mine, given = F.col(f"_l_{n}"), F.col(f"_c_{n}")

@@ -52,6 +52,15 @@ def paginate(df: DataFrame, order, page: int, size: int, clamp: bool = True) ->
     return Page(rows, total, page, last)
 
 
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """The few rows of a page, joined after they were cut, by a key that tells them apart.
+
+    A second sort above the joins was seen to be dropped at run time, as the cut below had the same order.
+    """
+    item = F.struct(F.col(key).alias("k"), F.struct(*rows.columns).alias("r"))
+    return rows.agg(F.array_sort(F.collect_list(item)).alias("a")).select(F.explode("a").alias("x")).select("x.r.*")
+
+
 def keyset_page(df: DataFrame, key: str, last, n: int) -> DataFrame:
     """The next ``n`` rows after ``last``; the key comparison reaches the scan."""
     return df.where(F.col(key) > F.lit(last)).orderBy(key).limit(n)

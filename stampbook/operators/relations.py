@@ -14,7 +14,7 @@ from stampbook.operators.filters import (
     reason_prefix, text_search, visible,
 )
 from stampbook.operators.ordering import Key, lookup, ranked
-from stampbook.operators.paging import Page, paginate
+from stampbook.operators.paging import Page, in_order, paginate
 from stampbook.schemas import PAGE_SIZES
 
 
@@ -65,7 +65,7 @@ def search_marks_page(
 ) -> Page:
     """One page of the search: the marks of the page are cut first, and only they meet their relations."""
     found = mark_page(matching_marks(marks, owners, ops, pages, **filters), page, size)
-    return replace(found, rows=with_relations(found.rows, owners, ops).orderBy("codigo"))
+    return replace(found, rows=in_order(with_relations(found.rows, owners, ops), "codigo"))
 
 
 def mark_page(found: DataFrame, page: int = 1, size: int = PAGE_SIZES["marcas"]) -> Page:

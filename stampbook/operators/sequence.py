@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stampbook.functions.folds import assign_rows, half_median, half_true_median, longest_regular_run
-from stampbook.operators.ordering import Key, all_small, ranked, scan, split
+from stampbook.operators.ordering import Key, all_small, null_safe_join, ranked, scan, split
 from stampbook.schemas import ANEXO, COPIAS, PRINCIPAL
 
 
@@ -16,10 +16,12 @@ def infer_numbers(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
     An annex takes the number of the main page or annex before it; any page takes the number both neighbours agree on. A
     completed page passes its number on. Since a completed value always equals the last original one, a page is completed
     exactly when no unlinked page lies between it and that original: two running maxima of row numbers decide it.
+    The ordered passes see five narrow columns; only completed pages come back, by folder, place and file.
     """
     n = F.nullif(F.col("numero_guia"), F.lit(""))
     order = [Key("orden"), Key("archivo")]
-    cut, small = split(pages.withColumn("_n", n), ["carpeta"], order, hot_rows)
+    narrow = pages.select("carpeta", "orden", "archivo", "formato", n.alias("_n"))
+    cut, small = split(narrow, ["carpeta"], order, hot_rows)
     first = scan(
         cut, ["carpeta"], order,
         {
@@ -43,14 +45,17 @@ def infer_numbers(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
         F.col("_n").isNull() & F.col("_given").isNotNull()
         & (F.coalesce("_broken", F.lit(0)) < F.col("_given"))
     )
+    place = ["carpeta", "orden", "archivo"]
+    completed = second.where(filled).select(*place, "_cand", "_annex").dropDuplicates(place)
+    done = F.col("_cand").isNotNull() & F.nullif(F.col("numero_guia"), F.lit("")).isNull()
     out = {
-        "numero_guia": F.when(filled, F.col("_cand")).otherwise(F.col("numero_guia")),
-        "inferida": filled,
-        "fuente_numero": F.when(filled & F.col("_annex"), "inferido:anexo").when(filled, "inferido:vecinas")
+        "inferida": done,
+        "fuente_numero": F.when(done & F.col("_annex"), "inferido:anexo").when(done, "inferido:vecinas")
         .otherwise(F.col("fuente_numero")),
-        "conf_numero": F.when(filled & F.col("_annex"), 0.5).when(filled, 0.4).otherwise(F.col("conf_numero")),
+        "conf_numero": F.when(done & F.col("_annex"), 0.5).when(done, 0.4).otherwise(F.col("conf_numero")),
+        "numero_guia": F.when(done, F.col("_cand")).otherwise(F.col("numero_guia")),
     }
-    return second.withColumns(out).select(*pages.columns, "inferida")
+    return null_safe_join(pages, completed, place, "left").withColumns(out).select(*pages.columns, "inferida")
 
 
 def neighbours(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
