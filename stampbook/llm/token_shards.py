@@ -30,30 +30,82 @@ from stampbook.llm.textbytes import mix, slices
 NO_ID = (1 << 63) - 1
 MAGIC = b"STKIDX01"
 #: Distinct words whose ids a task keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+
+
+class _Numbering(dict):
+    """Numbers keys in the order in which they are first asked for; ``new`` lists those not encoded yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    stop = np.cumsum(size)
+    return flat[np.repeat(begin - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)]
 
 
 class _Pieces:
-    """Ids of pieces of text that the tokenizer never joins, each encoded once."""
+    """Ids of pieces of text that the tokenizer never joins, each encoded once.
 
-    def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
+    A run of letters and the marks after it are separate to a byte-level pre-tokenizer, so such a piece takes its ids from both.
+    """
+
+    MARKS = ".,;:!?"
+
+    def __init__(self, tokenizer, lead: str, marks: _Pieces | None = None):
+        self.tokenizer, self.lead, self.marks = tokenizer, lead, marks
         self.clear()
 
     def clear(self):
-        self.place: dict[str, int] = {}
+        self.place = _Numbering()
         self.flat, self.end = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def numbers(self, pieces: list[str]) -> list[int]:
-        place = self.place
-        missing = [p for p in dict.fromkeys(pieces) if p not in place]
-        if missing:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.lead + p for p in missing], add_special_tokens=False)]
-            place.update(zip(missing, range(len(place), len(place) + len(missing)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-            self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(sizes)])
-        return [place[p] for p in pieces]
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        if self.place.new:
+            self._encode_new()
+        return out
+
+    def _encode_new(self):
+        place, first = self.place, len(self.end) - 1
+        whole, plain, parts = [], [], []
+        for n, p in enumerate(place.new, first):  # stems join the list on the way
+            stem = p.rstrip(self.MARKS) if self.marks else p
+            if len(stem) < len(p) and stem.isalpha():
+                parts.append((n, place[stem], p[len(stem) :]))
+            else:
+                whole.append(self.lead + p)
+                plain.append(n)
+        count = len(place.new)
+        place.new.clear()
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        size = np.zeros(count, np.int64)
+        size[np.asarray(plain, np.int64) - first] = np.fromiter(map(len, ids), np.int64, len(ids))
+        one = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        one_end = np.cumsum(size)  # plain pieces alone: composed ones have no ids yet
+        if not parts:
+            self.flat, self.end = np.concatenate([self.flat, one]), np.concatenate([self.end, self.end[-1] + one_end])
+            return
+        n, stem, tails = zip(*parts, strict=True)
+        tail = self.marks.numbers(list(tails))
+        flat = np.concatenate([self.flat, one, self.marks.flat])
+        begin = np.concatenate([self.end[:-1], len(self.flat) + one_end - size])
+        sizes = np.concatenate([np.diff(self.end), size])
+        # two parts for every new piece, the second one empty for plain pieces
+        at, left = np.asarray(n) - first, np.asarray(stem)
+        starts, lengths = np.zeros((count, 2), np.int64), np.zeros((count, 2), np.int64)
+        starts[:, 0], lengths[:, 0] = begin[first:], sizes[first:]
+        starts[at, 0], lengths[at, 0] = begin[left], sizes[left]
+        starts[at, 1] = len(self.flat) + len(one) + self.marks.end[tail]
+        lengths[at, 1] = np.diff(self.marks.end)[tail]
+        self.flat = np.concatenate([self.flat, _gathered(flat, starts.ravel(), lengths.ravel())])
+        self.end = np.concatenate([self.end, self.end[-1] + np.cumsum(lengths.sum(axis=1))])
 
 
 class Encoder:
@@ -71,11 +123,11 @@ class Encoder:
         t.encode_special_tokens = True
         t.no_truncation()
         t.no_padding()
-        self.heads, self.rest, self.end_id = _Pieces(t, ""), _Pieces(t, " "), end_id
+        self.heads, self.rest, self.end_id = _Pieces(t, ""), _Pieces(t, " ", _Pieces(t, "")), end_id
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end id; number of ids of each)."""
-        for cache in (self.heads, self.rest):
+        for cache in (self.heads, self.rest, self.rest.marks):
             if len(cache.place) > CACHE_WORDS:
                 cache.clear()
         heads, rest, n = [], [], []
@@ -89,7 +141,7 @@ class Encoder:
             rest += pieces
             n.append(len(pieces))
         n = np.asarray(n, np.int64)
-        h, r = np.asarray(self.heads.numbers(heads), np.int64), np.asarray(self.rest.numbers(rest), np.int64)
+        h, r = self.heads.numbers(heads), self.rest.numbers(rest)
         # one table of pieces: heads, then the rest, then the end id
         flat = np.concatenate([self.heads.flat, self.rest.flat, np.asarray([self.end_id], np.uint32)])
         begin = np.concatenate([self.heads.end[:-1], self.rest.end[:-1] + len(self.heads.flat), [len(flat) - 1]])
@@ -101,10 +153,8 @@ class Encoder:
         inner = np.ones(len(order), bool)
         inner[at] = inner[at - n - 1] = False
         order[inner] = r + len(self.heads.end) - 1
-        sizes = size[order]
-        stop = np.cumsum(sizes)
-        ids = flat[np.repeat(begin[order] - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)]
-        return ids, np.diff(np.concatenate(([0], stop[at]))) if len(at) else at
+        ids = _gathered(flat, begin[order], size[order])
+        return ids, np.diff(np.concatenate(([0], np.cumsum(size[order])[at]))) if len(at) else at
 
 
 class KeyIndex:
