@@ -160,6 +160,25 @@ def test_candidate_recall_against_brute_force(spark):
     assert len(true) >= 3 and len(true & got) >= 0.9 * len(true)
 
 
+def test_recall_of_short_items_in_long_documents(spark):
+    """A full block of short items: at least nine of ten exact copies inside long documents of the same words are found."""
+    r = random.Random(8)
+    words = [prose(k, 3000, 6000).split() for k in range(2)]
+    said = lambda k, n: [r.choice(words[k]) for _ in range(n)]
+    bench = [" ".join(said(i % 2, r.randint(11, 22))) + ". The " + " ".join(said(i % 2, 3)) + "." for i in range(decontaminate.BLOCK)]
+    rows = []
+    for i, item in enumerate(bench):
+        text = said(i % 2, r.randint(300, 900))
+        at = r.randint(0, len(text))
+        text[at:at] = item.split()
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(r.choice(bench).split()[:5] * 60)) for i in range(200)]  # repeated words outweigh other text
+    got = {(x.doc_id, h.item_id) for x in contaminated(documents(spark, rows, clash=False), items(spark, bench)).collect() for h in x.hits}
+    true = {(i, i) for i in range(len(bench))}
+    assert len(true & got) >= 0.9 * len(true)
+    assert all(doc < 1000 for doc, _ in got)
+
+
 def test_decontamination_of_empty_tables(spark):
     assert contaminated(documents(spark, []), items(spark, ["a b c"])).count() == 0
     assert [x.contaminated for x in contaminated(documents(spark, [(1, "a b c")]), items(spark, [])).collect()] == [False]
