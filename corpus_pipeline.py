@@ -68,8 +68,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the smallest doc_id (of rows without one, the smallest text hash)."""
-    judged = written(near_classes(docs), "judged")
+    """One document of each class (five-word shingles, similarity 0.8) stays: the smallest doc_id (of rows without one, the smallest text hash)."""
+    judged = written(near_classes(docs, n=5, percent=80), "judged")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     winners = written(judged.where("class IS NOT NULL").groupBy("class").agg(first), "winners")
     losers = judged.join(winners, "class").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))))
