@@ -19,9 +19,11 @@ PART_TURNS = 512
 def rotated(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One rendering of every dialogue for each of its participants.
 
-    Turns are in the order of turn, then name, then text (missing last). A participant is a role other than system, its name the
-    role with everything but letters, digits, dash and underscore as underscore; a missing or empty role is ``unnamed``. Roles with
-    one name are one participant. Each turn is a header line, its text and an end mark; the mask covers text and end mark of the
+    Turns are in the order of turn, then name, then text, then role (missing last). A participant is a role other than system, one
+    for each distinct role; a missing and an empty role are one. Its name is the role with everything but letters, digits, dash and
+    underscore as underscore, ``unnamed`` for a missing one. Where roles of one dialogue would share that name, those that differ
+    from it take their percent-encoded role instead (a missing one: "%"), which can be decoded and equals no other name. Each
+    turn is a header line, its text and an end mark; the mask covers text and end mark of the
     perspective's own turns. A missing text is empty; "<|" inside texts is set apart, so that no text can hold a mark.
 
     Result: conv_id, perspective, part (0, 1, ... of ``part_turns`` turns each), n_turns, own_turns, rendered, mask ("from-to" in
@@ -29,13 +31,24 @@ def rotated(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
     without conv_id are one dialogue. Repeated rows are turns like others. An empty table gives an empty result; other columns
     are ignored. Turns are numbered by range partitions and rendered in parts: a dialogue of any length is never in one task.
     """
-    name = F.regexp_replace(F.coalesce("role", F.lit("")), "[^A-Za-z0-9_-]", "_")
-    rows = conversations.select("conv_id", "turn", F.when(name == "", F.lit(UNNAMED)).otherwise(name).alias("name"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
-    placed = numbered(rows, [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("name"), F.col("text")], "at")
+    name = F.regexp_replace("role", "[^A-Za-z0-9_-]", "_")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
+    rows = rows.withColumn("name", F.when(name == "", F.lit(UNNAMED)).otherwise(name))
+    placed = numbered(rows, [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("name"), F.col("text"), F.col("role")], "at")
     first = written(placed.groupBy("conv_id").agg(F.min("at").alias("first")), "first").withColumnRenamed("conv_id", "_c")
-    speakers = written(placed.where(F.col("name") != SYSTEM).select(F.col("conv_id").alias("_c"), F.col("name").alias("perspective")).distinct(), "speakers")
+    roles = written(placed.where(F.col("role") != SYSTEM).select("conv_id", "role", "name").distinct(), "roles")
+    shared = roles.groupBy("conv_id", "name").agg((F.min("role") != F.max("role")).alias("shared")).where("shared").select(F.col("conv_id").alias("_c"), F.col("name").alias("_n"))
+    shared = roles.join(shared, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("name") == F.col("_n")), "left_semi")
+    escaped = F.when(F.col("role") == "", F.lit("%")).otherwise(F.replace(F.url_encode("role"), F.lit("+"), F.lit("%20")))
+    other = written(shared.where("role <> name").select(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), escaped.alias("_name")), "other")
 
-    turns = placed.join(first, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c").withColumn("at", F.col("at") - F.col("first"))
+    def named(rows):
+        """Rows with the names of their roles; few roles share one."""
+        same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r"))
+        return rows.join(other, same, "left").withColumn("name", F.coalesce("_name", "name")).drop("_c", "_r", "_name")
+
+    speakers = named(roles).select(F.col("conv_id").alias("_c"), F.col("name").alias("perspective"))
+    turns = named(placed).drop("role").join(first, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c").withColumn("at", F.col("at") - F.col("first"))
     turns = turns.withColumn("part", F.floor(F.col("at") / part_turns).cast("int"))
     views = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("_c")))
     own = F.col("name") == F.col("perspective")

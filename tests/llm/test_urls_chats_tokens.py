@@ -1,6 +1,7 @@
 import json
 import random
 import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -88,6 +89,23 @@ def test_perspectives_against_plain_code(spark):
     assert rotated(df.limit(0)).count() == 0
 
 
+def test_roles_of_one_cleaned_name_stay_apart(spark):
+    roles = ["Анна", "Иван", "Anna B", "Anna_B", "a+b", "a b", "a_b", "a%20b", "system", "unnamed", None, "", "Ana B"]
+    rows = [(1, t, role, f"says {t}") for t, role in enumerate(roles)] + [(2, 0, "Иван", "alone"), (2, 1, "Anna B", "x"), (None, 0, "Анна", "y"), (None, 0, "Иван", "y")]
+    got = rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by = {x.perspective: x for x in got if x.conv_id == 1}
+    assert len(by) == sum(x.conv_id == 1 for x in got) == 11  # system has none, missing and empty are one
+    for name, x in by.items():
+        of = {"%": (None, ""), "Ana_B": ("Ana B",), "a_20b": ("a%20b",)}.get(name, (unquote(name),))
+        want = [f"says {t}<|end|>" for t, role in enumerate(roles) if role in of]
+        assert want and [x.rendered[int(i) : int(j)] for i, j in (s.split("-") for s in x["mask"].split(","))] == want, name
+        assert x.own_turns == x.rendered.count("<|assistant|>") == len(want)
+        assert all(f"<|user name={k}|>" in x.rendered for k in by if k != name)
+    assert {"Anna_B", "Anna%20B", "a_b", "unnamed", "%", "Ana_B"} < set(by)
+    assert {x.perspective for x in got if x.conv_id == 2} == {"____", "Anna_B"}
+    assert len({x.perspective for x in got if x.conv_id is None}) == 2
+
+
 def test_long_dialogue_in_parts(spark):
     rows = [(1, t, "ab"[t % 2], f"t{t}") for t in range(25)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
