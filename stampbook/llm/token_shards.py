@@ -109,13 +109,14 @@ class _Pieces:
 
 
 class Encoder:
-    """Whole texts to ids, as the tokenizer gives them without special tokens.
+    """Whole texts to ids, as the tokenizer gives them without adding special tokens.
 
     A byte-level pre-tokenizer always cuts before a blank that is followed by something else, so a text is cut there and every
-    distinct piece is encoded once per task.
+    distinct piece is encoded once per task. With ``added`` a text that holds one of the tokenizer's added tokens is encoded
+    whole by the plain tokenizer, which gives that token its own id; without, such a token is text like any other.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -123,6 +124,12 @@ class Encoder:
         t.encode_special_tokens = True
         t.no_truncation()
         t.no_padding()
+        self.plain = None
+        if added and (tokens := [x.content for x in t.get_added_tokens_decoder().values()]):
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.holds = re.compile("|".join(map(re.escape, tokens)), re.IGNORECASE)  # wider than the tokenizer's own search, never narrower
         self.heads, self.rest, self.end_id = _Pieces(t, ""), _Pieces(t, " ", _Pieces(t, "")), end_id
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +137,11 @@ class Encoder:
         for cache in (self.heads, self.rest, self.rest.marks):
             if len(cache.place) > CACHE_WORDS:
                 cache.clear()
-        heads, rest, n = [], [], []
-        for text in texts:
+        heads, rest, n, apart = [], [], [], []
+        for k, text in enumerate(texts):
+            if self.plain and self.holds.search(text):
+                apart.append(k)
+                text = ""
             if re.search(r" \s", text):
                 first, *more = re.split(r"(?= \S)", text)
                 pieces = [p[1:] for p in more]
@@ -154,7 +164,16 @@ class Encoder:
         inner[at] = inner[at - n - 1] = False
         order[inner] = r + len(self.heads.end) - 1
         ids = _gathered(flat, begin[order], size[order])
-        return ids, np.diff(np.concatenate(([0], np.cumsum(size[order])[at]))) if len(at) else at
+        if not len(at):
+            return ids, at
+        stop = np.cumsum(size[order])[at]
+        count = np.diff(np.concatenate(([0], stop)))
+        if apart:  # each stands as its end id alone
+            whole = [np.asarray(e.ids, ids.dtype) for e in self.plain.encode_batch_fast([texts[k] for k in apart], add_special_tokens=False)]
+            more = np.fromiter(map(len, whole), np.int64, len(whole))
+            ids = np.insert(ids, np.repeat(stop[apart] - 1, more), np.concatenate(whole))
+            count[apart] += more
+        return ids, count
 
 
 class KeyIndex:
@@ -280,12 +299,13 @@ class Shard:
 
 @lru_cache(2)
 def _encoder(path: str, end_id: int) -> Encoder:
-    return Encoder(path, end_id)
+    return Encoder(path, end_id, added=True)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257, shards: int | None = None) -> DataFrame:
     """Encodes every whole text (missing: empty) and writes shards in ascending doc_id order; returns the manifest.
 
+    Ids are those of the library's ``encode(text, add_special_tokens=False)``, also for texts that hold an added token.
     Manifest: shard, name, documents, ids, start (ids in all shards before). The folder must be one that driver and executors
     share. A missing doc_id is the largest key; rows that repeat a doc_id are records of one key, ordered by text hash. An empty
     table gives an empty manifest. Other columns are ignored.

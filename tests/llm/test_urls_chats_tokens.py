@@ -140,6 +140,21 @@ def test_encoder_gives_the_tokenizers_ids(path):
     assert encoder.encode([])[0].tolist() == []
 
 
+def test_shards_hold_the_plain_librarys_ids_of_added_tokens(spark, path, tmp_path):
+    t = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(9)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", " a", "b ", "\n", "  ", ".", "Word,"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "plain", "", *("".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(300))]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert want[0] == [64, 220, 50256, 275, 2]
+    ids, n = Encoder(path, 2, added=True).encode(texts)
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    folder = f"file://{tmp_path}/shards"
+    manifest = write_shards(documents(spark, list(enumerate(texts))), folder, path, shards=3)
+    got = sorted(read_documents(manifest, folder).collect(), key=lambda x: x.doc_id)
+    assert [(x.n_tokens, x.ids_crc32) for x in got] == [(len(x), zlib.crc32(np.asarray(x, "<u4").tobytes())) for x in want]
+
+
 def test_key_index():
     for n in (0, 1, 2, 5000):
         keys = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
