@@ -96,6 +96,34 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(good) >= 0.85 * len(good) and sum(bad) <= 0.4 * len(bad)
 
 
+def junk_kind(text):
+    w = text.split()
+    if sum(x == y for x, y in zip(w, w[1:])) > 0.5 * len(w):
+        return "one word repeated"
+    if len(set(w)) < 0.2 * len(w):
+        return "phrases repeated"
+    if sum(c in "#*$%&" for c in text) > 0.03 * len(text):
+        return "symbols"
+    return "tables" if "|" in text else "capitals" if sum(c.isupper() for c in text) > 0.3 * len(text) else "short"
+
+
+def test_classifier_on_every_kind_of_junk(spark):
+    folder = os.path.join(os.path.dirname(DATA), "sf0.1")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    kept = {r.doc_id: r.kept for r in classified(docs.repartition(8), labels.where("doc_id % 4 <> 0")).collect()}
+    clean = [kept[r.doc_id] for r in labels.where("doc_id % 4 = 0 AND quality = 1 AND toxic = 0").collect()]
+    assert sum(clean) >= 0.97 * len(clean)
+    kinds = collections.defaultdict(list)
+    for r in docs.join(labels.where("quality = 0").select("doc_id"), "doc_id").collect():
+        kinds[junk_kind(r.text or "")].append(kept[r.doc_id])
+    left = {k: sum(v) / len(v) for k, v in kinds.items() if len(v) >= 20}
+    assert set(left) == {"one word repeated", "phrases repeated", "symbols", "tables", "capitals"}
+    assert max(left.values()) <= 0.3, left
+    assert sum(map(sum, kinds.values())) <= 0.1 * sum(map(len, kinds.values()))
+
+
 def test_classifier_edges(spark):
     rows = [(i, prose(i % 7, 40), "en") for i in range(40)] + [(50, "#%&|$ 0x9 " * 30, "en"), (51, None, "en"), (52, "", "en"), (53, "q", None), (None, prose(3, 40), "en"), (1, prose(1, 40), "en"), (1, prose(1, 40), "en"), (54, (prose(2, 40) + " ") * 500, "en")]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 1, 0), (31, 1, 1), (32, 0, 0), (33, None, None), (5, 0, 0)], LABELS).withColumn("text", F.lit(1))
