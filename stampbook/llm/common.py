@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,27 +18,71 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = f"[^{SPACE_CLASS}]+"
 
 
-#: Names given out, for ``discard``.
-_given: list[str] = []
+_run: ContextVar[Scratch | None] = ContextVar("run", default=None)
+
+
+class Scratch:
+    """The folder of one run: what the run writes while it is entered lies there, and its owner removes it as a whole.
+
+    The run entered last counts, for each thread apart, so that runs side by side never touch each other's tables.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, _new(spark, name)
+
+    def __enter__(self) -> Scratch:
+        self.token = _run.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _run.reset(self.token)
+
+    def remove(self) -> None:
+        """Only once nothing reads the run's tables any more."""
+        remove(self.spark, self.path)
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/stampbook-llm/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where the current run writes: its own folder, else the shared one."""
+    run = _run.get()
+    return run.path if run else f"{checkpoint_dir(spark).rstrip('/')}/stampbook-llm"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the folder that driver and executors share."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stampbook-llm/{name}-{uuid.uuid4().hex}"
-    _given.append(path)
-    return path
+    """A new folder name in the current run's folder, which driver and executors share."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that leaves its written result and nothing else in the shared folder."""
 
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        with Scratch(spark, query.__name__) as scratch:
+            out = query(spark, folder)
+            path = _new(spark, f"{query.__name__}-result")
+            out.write.parquet(path)
+        scratch.remove()
+        return spark.read.schema(out.schema).parquet(path)
 
-def mark() -> int:
-    """How many names have been given out so far."""
-    return len(_given)
+    return run
 
 
-def discard(spark: SparkSession, since: int, until: int) -> None:
-    """Removes what was written under the names given out between two marks; only for results that are no longer read."""
-    for path in _given[since:until]:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,8 +5,9 @@
     d known from their sizes, so that of d + 1 blocks at least one is the same in both. Each block's content is an index list;
     a list is skipped at once by all sets that differ anywhere in that block, so frequent shingles alone never make a list long,
     and sets that only share a passage rarely meet. Sizes are handled in bands; a set is listed in its own band and the one below.
-    Empty blocks say nothing: a set with one is listed once more under another cut (both sides of a pair agree on the first cut
-    in which either has none), so empty blocks need no list.
+    Empty blocks say nothing and are not listed. A set goes through cuts of other hashes until one fills more than d of its blocks:
+    at most d blocks can tell it from a similar set, so one filled block is the same in both, and of two similar sets
+    both are listed under the first cut that ends either. The number of blocks is chosen so that the first cut mostly does.
 3.  Answers are derived, not recomputed: per list, members are compared with one pivot only, the one that stands in the most
     and longest lists. What tells a member x from the pivot p is its difference D(x). Two members of one list can only be similar
     without both being linked to p if their differences overlap in at least (|D(x)| + |D(y)| - d) / 2 shingles. So an index over
@@ -23,13 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from stampbook.llm.common import written
+from stampbook.llm.common import tidy, written
 from stampbook.llm.textbytes import BASE, LOWER, Prefix, Words, buffer, mix, slices
 
-MAX_CUTS = 64
-
-
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of all texts, ascending in each text; first of each text). Texts of fewer words: all as one."""
     data, starts = buffer(column)
@@ -70,13 +69,27 @@ def _sets(n: int):
     return run
 
 
+#: Ids of sets that a task remembers, to send each text once; beyond that it starts anew and may send some twice.
+REMEMBERED = 2_000_000
+
+
 def _texts(n: int):
-    """Id of the set, and the text."""
+    """Id of the set, and a text: equal sets once for each task, as any of their texts will do."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(*shingle_sets(part.column("text"), n))), part.column("text")], ["sid", "text"])
+                sid = set_ids(*shingle_sets(part.column("text"), n))
+                new = []
+                for i, s in enumerate(sid.tolist()):
+                    if s not in seen:
+                        seen.add(s)
+                        new.append(i)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[new]), part.column("text").take(pa.array(new))], ["sid", "text"])
 
     return run
 
@@ -91,10 +104,23 @@ class Bands:
         """Two sets of similarity t are in the same band or in neighbouring ones."""
         return np.floor(np.log(np.maximum(size, 1)) / -math.log(self.t) + 1e-9).astype(np.int64)
 
-    def blocks(self, band: int) -> int:
-        """One more than two sets of this band and the next can differ at similarity t."""
+    def most(self, band: int) -> int:
+        """By how many shingles two similar sets of this band and the next can differ."""
         largest = math.ceil(self.t ** -(band + 2)) + 1
-        return math.floor((1 - self.t) / (1 + self.t) * 2 * largest + 1e-9) + 1
+        return math.floor((1 - self.t) / (1 + self.t) * 2 * largest + 1e-9)
+
+    def differ(self, size: np.ndarray, band: int) -> np.ndarray:
+        """The same for one set: a similar one has at most size / t shingles."""
+        return np.minimum(np.floor((1 - self.t) / self.t * size + 1e-9).astype(np.int64), self.most(band))
+
+    def blocks(self, band: int) -> int:
+        """So many that any set of the lists is expected to fill more of them than it can differ by (hardest for the smallest
+        set that can differ by ``most``)."""
+        most = self.most(band)
+        m, hardest = 1.1 * (most + 1), most * self.t / (1 - self.t) if self.t < 1 else 0
+        while m * (1 - math.exp(-hardest / m)) < min(1.05 * most, (most + hardest) / 2):
+            m *= 1.1
+        return math.ceil(m)
 
 
 def _lists(n: int, percent: int):
@@ -102,20 +128,19 @@ def _lists(n: int, percent: int):
     bands = Bands(percent)
 
     def cut(hashes, first, band, number):
-        """Keys of all blocks under one cut; which blocks of which sets hold anything."""
+        """Keys of the filled blocks of all sets under one cut, and the set of each."""
         m = bands.blocks(band)
         size = np.diff(first)
         text = np.repeat(np.arange(len(size)), size)
         spread = mix(hashes + np.uint64(number * BASE & (1 << 64) - 1))
         block = ((spread >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         place = text * m + block
-        content = np.zeros(len(size) * m, np.uint64)
-        np.add.at(content, place, mix(spread ^ np.uint64(0x5851F42D4C957F2D)))
-        filled = np.zeros(len(size) * m, bool)
-        filled[place] = True
-        label = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 24) + (np.uint64(number) << np.uint64(48)))
-        keys = mix(content ^ np.tile(label, len(size)))
-        return keys, filled, m
+        order = np.argsort(place, kind="stable")
+        place, spread = place[order], mix(spread[order] ^ np.uint64(0x5851F42D4C957F2D))
+        new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        content, place = np.add.reduceat(spread, new), place[new]
+        label = mix((place % m).astype(np.uint64) + np.uint64(band << 24) + (np.uint64(number) << np.uint64(48)))
+        return mix(content ^ label), place // m
 
     def run(batches):
         for batch in batches:
@@ -127,16 +152,15 @@ def _lists(n: int, percent: int):
                 for band in np.unique(own[size > 0]).tolist():
                     for b in (band - 1, band):
                         pick = np.flatnonzero((own == band) & (size > 0))
-                        for number in range(MAX_CUTS):
-                            if not len(pick) or b < 0:
-                                break
+                        number = 0
+                        while len(pick) and b >= 0:
                             length = size[pick]
                             stop = np.cumsum(length)
                             at = np.repeat(first[pick] - (stop - length), length) + np.arange(stop[-1])
-                            keys, filled, m = cut(hashes[at], np.concatenate(([0], stop)), b, number)
-                            emit = filled if number < MAX_CUTS - 1 else np.ones(len(keys), bool)
-                            yield pa.RecordBatch.from_arrays([pa.array(keys[emit].view(np.int64)), pa.array(np.repeat(sid[pick], m)[emit])], ["key", "sid"])
-                            pick = pick[~filled.reshape(-1, m).all(axis=1)]
+                            keys, owner = cut(hashes[at], np.concatenate(([0], stop)), b, number)
+                            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sid[pick][owner])], ["key", "sid"])
+                            pick = pick[np.bincount(owner, minlength=len(pick)) <= bands.differ(length, b)]
+                            number += 1
 
     return run
 
@@ -204,8 +228,16 @@ def _compared(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.mapInArrow(_compare(n, percent), "a long, b long, similar boolean, size long, differ long, first array<long>")
 
 
-def _derived(found: DataFrame, classes: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets compared with one pivot that may be similar, of different classes, by their differences to it."""
+#: Members of a class that stand for it under one (pivot, shingle) while classes are still merged.
+SPEAKERS = 4
+
+
+def _derived(found: DataFrame, classes: DataFrame | None, percent: int, speakers: int | None = None) -> DataFrame | None:
+    """Pairs (a, b) of sets compared with one pivot that may be similar, of different classes, by their differences to it.
+
+    With ``speakers`` only so many members of a class, those least far from the pivot, stand for it under a (pivot, shingle).
+    None if no (pivot, shingle) holds two classes.
+    """
     members = found.where(F.size("first") > 0).select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "size", "differ", F.posexplode("first").alias("place", "shingle"))
     if classes is None:
         members = members.withColumn("class", F.col("sid"))
@@ -214,7 +246,13 @@ def _derived(found: DataFrame, classes: DataFrame | None, percent: int) -> DataF
     members = written(members, "differences")
     key = ["pivot", "shingle"]
     mixed = members.groupBy(key).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(key)
-    members = written(members.join(written(mixed, "mixed"), key), "differences")
+    mixed = written(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    members = written(members.join(mixed, key), "differences")
+    if speakers:
+        near = Window.partitionBy(*key, "class").orderBy("differ", "place", "sid")
+        members = written(members.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= speakers).drop("_n"), "speakers")
     kinds = members.select(*key, "class").distinct()
     kinds = written(kinds.join(kinds.withColumnRenamed("class", "other_class"), key).where("class < other_class"), "kinds")
     other = members.select(*key, F.col("class").alias("other_class"), F.col("sid").alias("o_sid"), F.col("size").alias("o_size"), F.col("differ").alias("o_differ"), F.col("place").alias("o_place"))
@@ -242,9 +280,14 @@ def linked_classes(rows: DataFrame, n: int, percent: int) -> DataFrame | None:
     found = written(_compared(pairs.join(written(wide, "wide"), "a"), texts, n, percent), "found")
     edges = found.where("similar").select("a", "b")
     classes = None if edges.isEmpty() else written(components(edges), "classes")
-    more = written(_compared(written(_derived(found, classes, percent), "derived"), texts, n, percent), "more").where("similar").select("a", "b")
-    if not more.isEmpty():
-        classes = written(components(edges.unionByName(more)), "classes")
+    for speakers in (SPEAKERS, None):  # one link merges two classes: first by a few of each, then all that are still apart
+        derived = _derived(found, classes, percent, speakers)
+        if derived is None:
+            break
+        more = written(_compared(written(derived, "derived"), texts, n, percent), "more").where("similar").select("a", "b")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            classes = written(components(edges), "classes")
     return classes
 
 
@@ -255,8 +298,10 @@ def near_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     without words (or a missing text) empty and linked with nothing. Result: doc_id, n_shingles, component_id (smallest doc_id
     reachable, itself included), class (an id of the class; missing for empty sets), text_hash; one row per input row. Rows are judged each by its own text, also where they repeat a doc_id;
     a missing doc_id is never the smallest. An empty table gives an empty result. Other columns are ignored. Sets and shingles
-    are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes. ``percent`` must be above 50: below, similar sets need not share a block.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent: above 50, at most 100")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = written(rows.mapInArrow(_sets(n), "doc_id long, sid long, size long, text_hash long"), "sets")
     classes = linked_classes(rows, n, percent)
@@ -270,6 +315,7 @@ def near_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), "class", "text_hash")
 
 
+@tidy
 def op9_jaccard(spark, folder: str) -> DataFrame:
     """The whole of documents: 3-word shingles, 90 percent."""
     return near_classes(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

@@ -1,6 +1,11 @@
 import random
+import threading
 
-from stampbook.llm.jaccard import Bands, components, near_classes
+import numpy as np
+import pyarrow as pa
+import pytest
+from stampbook.llm.common import Scratch, written
+from stampbook.llm.jaccard import Bands, _lists, components, near_classes
 from support import WORD, documents, prose
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,3 +109,63 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {x.id: x["class"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_short_and_long_texts(spark, n, percent):
+    """Copies with edits of texts of 10 to 5,000 words."""
+    texts = []
+    for size in (10, 25, 60, 200, 1000, 5000):
+        texts += near(size, prose(size, size), 6, max(1, size // 40)) + [prose(size + k, size) for k in (1, 2)]
+    random.Random(3).shuffle(texts)
+    rows = list(enumerate(texts))
+    got = near_classes(documents(spark, rows), n, percent).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows, n, percent)
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_lists_stay_below_the_text(n, percent):
+    """Index rows of 16 bytes: at most twice the text, at any length, and every key comes from a filled block."""
+    for words in (50, 200, 1000, 5000):
+        texts = [prose(words + k, words, 10**4) for k in range(3)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+        rows = sum(b.num_rows for b in _lists(n, percent)([batch]))
+        assert rows * 16 < 2.2 * sum(map(len, texts))
+
+
+def test_similar_sets_agree_on_a_listed_block():
+    bands, r = Bands(80), np.random.default_rng(3)
+    for size in (1, 2, 3, 5, 9, 20, 60, 300):
+        d = int(bands.differ(np.array([size]), int(bands.band(np.array([size]))[0]))[0])
+        assert d < size
+        for _ in range(20):
+            words = [f"w{x}" for x in r.integers(0, 10**9, size + 4)]
+            for cut in range(d // 5 + 1):
+                a, b = " ".join(words), " ".join(words[: len(words) - cut])
+                keys = [{k for x in _lists(5, 80)([pa.RecordBatch.from_arrays([pa.array([t])], ["text"])]) for k in x.column("key").to_pylist()} for t in (a, b)]
+                na, nb = size, max(1, size - cut)
+                if 100 * nb >= 80 * na:
+                    assert keys[0] & keys[1]
+
+
+def test_runs_side_by_side_keep_their_tables(spark):
+    tables, steps = {}, threading.Barrier(2)
+
+    def work(k):
+        with Scratch(spark, f"thread{k}") as scratch:
+            tables[k] = written(spark.range(5 + k), "rows")
+        steps.wait()
+        if k == 0:
+            scratch.remove()
+        steps.wait()
+        if k == 1:
+            assert tables[k].count() == 6
+            scratch.remove()
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    with pytest.raises(Exception):  # noqa: B017
+        tables[1].count()
