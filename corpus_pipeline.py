@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampbook.llm.common import discard, mark, shared_path, small_broadcast, written
+from stampbook.llm.common import Scratch, free_name, shared_path, small_broadcast, written
 from stampbook.llm.decontaminate import contaminated
 from stampbook.llm.jaccard import near_classes
 from stampbook.llm.language_model import classified
@@ -16,47 +17,59 @@ from stampbook.llm.token_shards import read_documents, write_shards
 
 #: Rejected rows (two longs each) up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_made: list[tuple[int, int]] = []
+_left = threading.local()
+
+
+def _tidied() -> None:
+    """Removes the intermediate tables of this thread's last stage, whose result has been written by then."""
+    scratch = getattr(_left, "scratch", None)
+    _left.scratch = None
+    if scratch:
+        scratch.remove()
 
 
 def _stage(function):
-    """A stage first removes the intermediate tables of the stage before it, whose result has been written by then."""
+    """A stage with a folder of its own for intermediate tables, which the thread's next stage (or ``run``) removes."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _made:
-            discard(spark, *_made.pop())
-        before = mark()
-        try:
+        _tidied()
+        with Scratch(spark, function.__name__) as _left.scratch:
             return function(spark, docs, sf_dir)
-        finally:
-            _made.append((before, mark()))
 
     return run_stage
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _hashed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the hash of its text, and that column's name."""
+    name = free_name(docs, "_hash")
+    return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit("")))), name
+
+
+def _keys(docs: DataFrame, judged: DataFrame, name: str, *more: str) -> tuple[DataFrame, DataFrame, Column, list[str]]:
+    """``docs`` with its hash; the (doc_id, text_hash, ``more``) rows of ``judged``, written, by names that ``docs`` has not;
+    the join of both; the names that the join adds."""
+    rows, h = _hashed(docs)
+    i, t, *m = names = [free_name(rows, c) for c in ("_id", "_text", *[f"_{c}" for c in more])]
+    keys = written(judged.select(F.col("doc_id").alias(i), F.col("text_hash").alias(t), *[F.col(c).alias(n) for c, n in zip(more, m, strict=True)]), name)
+    return rows, keys, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), [h, *names]
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id and text are rejected (doc_id, text_hash)."""
-    rejected = small_broadcast(written(rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "rejected"), BROADCAST_ROWS)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
-    return _hashed(docs).join(rejected, same, "left_anti").drop("_hash")
+    rows, keys, same, _ = _keys(docs, rejected.select("doc_id", "text_hash").distinct(), "rejected")
+    return rows.join(small_broadcast(keys, BROADCAST_ROWS), same, "left_anti").select(docs.columns)
 
 
 def _one_of_each(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """``docs`` with rows that repeat both id and text reduced to one; ``judged`` has one (doc_id, text_hash) for each row."""
     repeated = judged.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = written(repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")), "repeated")
-    if repeated.isEmpty():
+    rows, keys, same, added = _keys(docs, repeated, "repeated")
+    if keys.isEmpty():
         return docs
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
-    repeated = small_broadcast(repeated, BROADCAST_ROWS)
-    rows = _hashed(docs)
-    alone = rows.join(repeated, same, "left_anti")
-    return alone.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_hash"])).drop("_hash")
+    keys = small_broadcast(keys, BROADCAST_ROWS)
+    twice = rows.join(keys, same, "left_semi").dropDuplicates(["doc_id", added[0]])
+    return rows.join(keys, same, "left_anti").unionByName(twice).select(docs.columns)
 
 
 @_stage
@@ -88,10 +101,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     sized = measured(docs)
     taken = mix(docs, cycled_weights(sized), sized=sized)
-    taken = written(taken.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.sum("copies").alias("_copies")).where("_copies > 0"), "taken")
-    rows = _hashed(_one_of_each(docs, sized.select("doc_id", "text_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
-    return rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = taken.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows, keys, same, added = _keys(_one_of_each(docs, sized.select("doc_id", "text_hash")), taken, "taken", "copies")
+    times = F.sequence(F.lit(1), F.col(added[-1]).cast("int"))
+    return rows.join(keys, same).withColumn(free_name(rows, "_copy"), F.explode(times)).select(docs.columns)
 
 
 @_stage
@@ -118,10 +131,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_path(spark, 'stage')}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            held = Scratch(spark, f"stage-{k + 1}")
+            docs.write.parquet(held.path)
+            _tidied()
+            if before:
+                before.remove()
+            docs, before = spark.read.parquet(held.path), held
     return docs
