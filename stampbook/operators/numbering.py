@@ -28,15 +28,15 @@ def joined_numbers(df: DataFrame, order: list[str], name: str, start: int = 0) -
     return found.withColumn(name, F.col("_place")).drop("_place")
 
 
-def numbered(keys: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+def numbered(keys: DataFrame, order: list[Column], name: str = "n", folder: str | None = None) -> DataFrame:
     """``keys`` (a narrow table: ids and sort keys only) with its 1-based place in ``order``, a total order.
 
     The table is partitioned by range, sorted in each partition, and written once, as a second evaluation could draw other
-    range borders. A partition's rows are then shifted by the rows of the partitions before it: one small row per partition.
+    range borders (to ``folder``, else to the checkpoint folder). A partition's rows are then shifted by the rows of the partitions before it: one small row per partition.
     """
     spark = keys.sparkSession
     placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    path = f"{checkpoint_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+    path = f"{(folder or checkpoint_dir(spark)).rstrip('/')}/numbered-{uuid.uuid4().hex}"
     placed.write.parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.expr(f"_at div {PLACES}L"))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
