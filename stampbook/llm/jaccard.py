@@ -70,7 +70,7 @@ def _sets(n: int):
 
 
 #: Ids of sets that a task remembers, to send each text once; beyond that it starts anew and may send some twice.
-REMEMBERED = 2_000_000
+REMEMBERED = 200_000
 
 
 def _texts(n: int):
@@ -165,6 +165,59 @@ def _lists(n: int, percent: int):
     return run
 
 
+#: Rows of lists that a task gathers before it sends the least and largest set of each list.
+GATHERED = 1 << 19
+
+
+def _extremes(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with its least and largest set; keys in order."""
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[new], np.minimum.reduceat(low, new), np.maximum.reduceat(high, new)
+
+
+def _extremes_of_lists(n: int, percent: int):
+    """key, low, high: the lists of a task, summed up before they are shuffled, so that no hot list sends many rows."""
+    lists = _lists(n, percent)
+
+    def summed(parts):
+        key, sid = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _extremes(key[order], sid[order], sid[order])], ["key", "low", "high"])
+
+    def run(batches):
+        parts, gathered = [], 0
+        for batch in lists(batches):
+            parts.append((batch.column("key").to_numpy(), batch.column("sid").to_numpy()))
+            gathered += batch.num_rows
+            if gathered >= GATHERED:
+                yield summed(parts)
+                parts, gathered = [], 0
+        if parts:
+            yield summed(parts)
+
+    return run
+
+
+def _shared(batches):
+    """Keys of more than one set, from rows in the order of key."""
+    held = None
+
+    def found(key, low, high):
+        return pa.RecordBatch.from_arrays([pa.array(key[low < high])], ["key"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy() for c in ("key", "low", "high")]
+        if held is not None:
+            rows = [np.concatenate((a, b)) for a, b in zip(held, rows, strict=True)]
+        rows = _extremes(*rows)
+        held = [x[-1:] for x in rows]
+        yield found(*[x[:-1] for x in rows])
+    if held is not None:
+        yield found(*held)
+
+
 def _compare(n: int, percent: int):
     """For pairs (a, b) with their texts: whether they are similar, the size of b, the size of their difference, and, where
     ``wide``, the first shingles of the difference in the order: not in a, in a, then by hash."""
@@ -266,7 +319,8 @@ def _derived(found: DataFrame, classes: DataFrame | None, percent: int, speakers
 def linked_classes(rows: DataFrame, n: int, percent: int) -> DataFrame | None:
     """id, class for every set that is linked with a different one; None if there is none."""
     listed = rows.select("text").mapInArrow(_lists(n, percent), "key long, sid long")
-    meets = written(listed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key"), "meets")
+    ends = rows.select("text").mapInArrow(_extremes_of_lists(n, percent), "key long, low long, high long")
+    meets = written(ends.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long"), "meets")
     members = written(listed.join(meets.hint("shuffle_hash"), "key").distinct(), "lists")
     texts = rows.select("text").mapInArrow(_texts(n), "sid long, text string").join(written(members.select("sid").distinct(), "needed").hint("shuffle_hash"), "sid")
     texts = written(texts.groupBy("sid").agg(F.min("text").alias("text")), "texts")
