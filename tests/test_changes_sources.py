@@ -300,6 +300,37 @@ def test_awkward_sheets(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [("M-1", "a;b;c"), ("M-2", "d")]
 
 
+def test_sheets_of_one_folder_differ(spark, tmp_path):
+    """Encoding, separator and header are each file's own; the second file's header is no row."""
+    (tmp_path / "a.csv").write_bytes("Nº de Marca;Dueño;Peso\nA1;Ñandú;1\nA2;\"dos\nlíneas; con punto\";2\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("\n,,\nPropietario,Código,Otro\nÓscar,B1,x\n\"a \"\"b\"\", c\",B2,\n".encode())
+    (tmp_path / "c.csv").write_bytes("\ufeffNº de Marca;Dueño;Peso\nC1;ñ;3\n".encode())
+    (tmp_path / "d.csv").write_bytes(b"\n \n;;\n")
+    df = delimited.read_delimited(spark, str(tmp_path))
+    assert df.columns == ["Nº de Marca", "Dueño", "Peso", "Otro"]
+    mapped, report = delimited.map_columns(df)
+    assert sorted(map(tuple, mapped.collect())) == [("A1", "Ñandú"), ("A2", "dos\nlíneas; con punto"), ("B1", "Óscar"), ("B2", 'a "b", c'), ("C1", "ñ")]
+    assert report["ignoradas"] == ["Peso", "Otro"]
+    assert sorted(map(tuple, df.select("Nº de Marca", "Peso", "Otro").collect()), key=str) == [("A1", "1", None), ("A2", "2", None), ("B1", None, "x"), ("B2", None, None), ("C1", "3", None)]
+
+
+def test_quoted_breaks_across_splits(spark, tmp_path):
+    """A file in many splits: most begin inside a quoted value, some hold no start of a row at all."""
+    want = [(f"M{i}", "\n".join(f'línea {k} de {i}; "{k}"' for k in range(i % 7 * i % 40))) for i in range(60)]
+    text = "codigo;detalle\n" + "".join(f'{c};"{d.replace(chr(34), chr(34) * 2)}"\n' for c, d in want)
+    path = tmp_path / "s.csv"
+    path.write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (200, 997, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            df = delimited.read_delimited(spark, str(path))
+            assert sorted((r.codigo, r.detalle or "") for r in df.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert delimited.read_lines(spark, str(path)).count() == text.count("\n")
+
+
 def test_folding_covers_unicode(spark):
     from stampbook.functions.text import ascii_fold
 

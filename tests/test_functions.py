@@ -99,7 +99,7 @@ def test_regular_run(spark):
     assert got == [run_by_hand(r[0]) for r in rows]
 
 
-def test_headers():
+def test_headers(spark):
     heads = ["Nº de Marca", "Nombre y Apellido / Razón Social", "CI/RUC", "Establecimiento", "Cod. Establecimiento", "Peso vivo"]
     taken, ignored = map_headers(heads)
     assert taken == {0: "codigo", 1: "propietario", 2: "documento", 3: "establecimiento", 4: "establecimiento_codigo"}
