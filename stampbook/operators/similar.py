@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from stampbook.functions.folds import let
 from stampbook.operators.filters import MARK_FACETS, facets, visible
-from stampbook.operators.ordering import Key, ranked, top_n
+from stampbook.operators.nearest import clustered, nearest, unit_rows
+from stampbook.operators.ordering import Key, top_n
 
 TOP = 24
 QUERIES_PER_PASS = 256
@@ -57,12 +57,6 @@ def fingerprint_vectors(df: DataFrame, key: str = "id", column: str = "huella")
 
 def _one_pass(asked: list, corpus: DataFrame, k: int, id_type: str, query_type: str) -> DataFrame:
     """Best ``k`` of the corpus for a bounded list of queries; every task forwards at most ``k`` rows per query."""
-    def unit_rows(vectors) -> np.ndarray:
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        m -= m.mean(axis=1, keepdims=True)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
     names = [r["consulta"] for r in asked]
     q = unit_rows([r["v"] for r in asked])
     q_aspect = np.array([r["aspect"] for r in asked], dtype=np.float64)
@@ -92,29 +86,21 @@ def _one_pass(asked: list, corpus: DataFrame, k: int, id_type: str, query_type:
 def similar(queries: DataFrame, corpus: DataFrame, k: int = TOP) -> DataFrame:
     """(consulta, id, puntaje, rn): the ``k`` most similar corpus rows of each query, score 0-100.
 
-    ``queries`` (consulta, aspect, v), ``corpus`` (id, aspect, v). Queries travel to the corpus at most
-    ``QUERIES_PER_PASS`` at a time; more of them take further passes over the corpus.
+    ``queries`` (consulta, aspect, v), ``corpus`` (id, aspect, v). Up to ``QUERIES_PER_PASS`` queries travel to the corpus and take
+    one pass over it; more stay a frame and visit the corpus by clusters (``nearest``).
     """
     id_type = corpus.schema["id"].dataType.simpleString()
     query_type = queries.schema["consulta"].dataType.simpleString()
     q = queries.select("consulta", F.col("aspect").cast("double").alias("aspect"), "v")
     asked = q.limit(QUERIES_PER_PASS + 1).collect()
-    if not asked:
-        passes = [corpus.select(F.lit(None).cast(query_type).alias("consulta"), "id", F.lit(0.0).alias("exacto")).limit(0)]
-    elif len(asked) <= QUERIES_PER_PASS:
-        passes = [_one_pass(asked, corpus, k, id_type, query_type)]
+    if len(asked) > QUERIES_PER_PASS:
+        best = nearest(q, clustered(corpus), k)[0]
     else:
-        numbered = ranked(q, [], ["consulta"], "_n")
-        total = q.count()
-        passes = [
-            _one_pass(
-                numbered.where((F.col("_n") > lo) & (F.col("_n") <= lo + QUERIES_PER_PASS)).collect(),
-                corpus, k, id_type, query_type,
-            )
-            for lo in range(0, total, QUERIES_PER_PASS)
-        ]
-    found = reduce(DataFrame.unionByName, passes)
-    best = top_n(found, ["consulta"], [Key("exacto", desc=True), Key("id")], k)
+        if asked:
+            found = _one_pass(asked, corpus, k, id_type, query_type)
+        else:
+            found = corpus.select(F.lit(None).cast(query_type).alias("consulta"), "id", F.lit(0.0).alias("exacto")).limit(0)
+        best = top_n(found, ["consulta"], [Key("exacto", desc=True), Key("id")], k)
     return best.select("consulta", "id", F.round("exacto", 1).alias("puntaje"), "exacto", "rn")
 
 

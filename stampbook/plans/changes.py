@@ -462,6 +462,16 @@ def _(t):
     return sim.similar(_prototypes(t), t.huellas).select("consulta", "id", "rn", F.round("exacto", 4).alias("puntaje"))
 
 
+@query("v2_similar_all", w("huellas", _UNIT + """
+    , s AS (SELECT q.id AS consulta, c.id, round(least(greatest(list_cosine_similarity(q.z, c.z), 0), 1) * (0.75 + 0.25 * least(q.aspect, c.aspect) / greatest(q.aspect, c.aspect)) * 100, 9) AS exacto
+        FROM c q CROSS JOIN c),
+      r AS (SELECT *, row_number() OVER (PARTITION BY consulta ORDER BY exacto DESC, id) AS rn FROM s)
+    SELECT consulta, id, rn, round(exacto, 4) AS puntaje FROM r WHERE rn <= 24"""))
+def _(t):
+    every = t.huellas.select(F.col("id").alias("consulta"), "aspect", "v")
+    return sim.similar(every, t.huellas).select("consulta", "id", "rn", F.round("exacto", 4).alias("puntaje"))
+
+
 @query("v3_search_similar", w("huellas propietarios", _SIMILAR.replace("{where}", "WHERE c.id % 3 <> 2 AND c.id % 2 = 0 AND c.id % 7 <> 0") + """
     SELECT r.consulta, r.rn, r.id, concat('M-', r.id) AS codigo, CASE WHEN r.id % 2 = 0 THEN 'dominante' ELSE 'complementaria' END AS tipo,
       CASE r.id % 3 WHEN 0 THEN 'activa' ELSE 'revisar' END AS estado, p.nombre AS propietario FROM r LEFT JOIN propietarios p ON p.id = r.id % 50 WHERE rn <= 24"""))
