@@ -1,7 +1,8 @@
 """Phrase collocations from count streams in prefix and suffix order.
 
-1.  Counting is level by level: a phrase is counted only where both phrases one word shorter are frequent, which a filter of bounded
-    size says (it may let others pass, which their own count then removes, but loses none). Counts are summed in the map tasks first.
+1.  Words are counted, then pairs of frequent words, then longer phrases all of whose pairs are frequent: three passes over the
+    texts. What is frequent a filter of bounded size says (it may let others pass, which their own count then removes, but loses
+    none). Counts are summed in the map tasks first.
 2.  All frequent phrases are one table of word hashes. Sorted by first words it is the prefix stream: every phrase stands behind
     its own beginnings and before its continuations, so beginnings' counts and the largest continuation are read off the
     neighbours. Sorted by last words it is the suffix stream, which gives the same for endings and words put in front. The second
@@ -24,7 +25,7 @@ from stampbook.llm.textbytes import BASE, BYTE_VALUE, LOWER, Prefix, buffer, mix
 MAX_WORDS = 4
 UNKNOWN = "und"
 #: Windows gathered in a task before equal ones are summed and sent.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 #: Filter: bits for each phrase, bits in a chunk, and bits at most (32 MB, whatever the corpus holds).
 BITS_EACH, CHUNK_BITS, MAX_BITS = 16, 1 << 16, 1 << 28
 
@@ -117,33 +118,44 @@ def _word_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), part.column("lang").take(pa.array(p.text[at])), words, pa.array(c)], ["w1", "lang", "word", "c"])
 
 
-def _phrase_counts(words: int, known: Filter):
-    """w1, w2, ..., c: windows of so many words whose two parts of one word less pass the filter."""
+def _phrase_counts(sizes: range, known: Filter, part: int, max_words: int):
+    """words, w1, w2, ..., c: windows of each size all of whose parts of ``part`` words pass the filter."""
+    names = [f"w{i + 1}" for i in range(max_words)]
 
-    def summed(rows):
+    def summed(words, rows):
         columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
         _, at, c = np.unique(joined(columns), return_index=True, return_counts=True)
-        arrays = [pa.array(x[at].view(np.int64)) for x in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(c)], [*[f"w{i + 1}" for i in range(words)], "c"])
+        arrays = [pa.array(x[at].view(np.int64)) for x in columns] + [pa.nulls(len(at), pa.int64())] * (max_words - words)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), words, np.int32)), *arrays, pa.array(c)], ["words", *names, "c"])
 
     def run(batches):
-        rows, gathered = [], 0
+        rows, gathered = {words: [] for words in sizes}, 0
         for batch in batches:
-            for part in slices(batch):
-                p = Pieces(part)
-                n = len(p.value) - words + 1
+            for cut in slices(batch):
+                p = Pieces(cut)
+                n = len(p.value) - part + 1
                 if n <= 0:
                     continue
-                passed = known(joined([p.value[i : i + n + 1] for i in range(words - 1)]))
-                ok = np.flatnonzero(passed[:-1] & passed[1:] & (p.piece[:n] == p.piece[words - 1 :]))
-                if len(ok):
-                    rows.append([p.value[ok + i] for i in range(words)])
-                    gathered += len(ok)
+                passed = known(joined([p.value[i : i + n] for i in range(part)]))
+                for words in sizes:
+                    m = len(p.value) - words + 1
+                    if m <= 0:
+                        continue
+                    ok = p.piece[:m] == p.piece[words - 1 :]
+                    for i in range(words - part + 1):
+                        ok &= passed[i : i + m]
+                    ok = np.flatnonzero(ok)
+                    if len(ok):
+                        rows[words].append([p.value[ok + i] for i in range(words)])
+                        gathered += len(ok)
                 if gathered >= GATHERED:
-                    yield summed(rows)
-                    rows, gathered = [], 0
-        if rows:
-            yield summed(rows)
+                    for words, found in rows.items():
+                        if found:
+                            yield summed(words, found)
+                    rows, gathered = {words: [] for words in sizes}, 0
+        for words, found in rows.items():
+            if found:
+                yield summed(words, found)
 
     return run
 
@@ -152,16 +164,17 @@ def counted(docs: DataFrame, least: int, max_words: int = MAX_WORDS) -> tuple[Da
     """(number of words per lang; frequent words w1, lang, word, c; frequent phrases words, w1 ... w4, c)."""
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
     every = written(rows.mapInArrow(_word_counts, "w1 long, lang string, word string, c long").groupBy("w1", "lang", "word").agg(F.sum("c").alias("c")), "words")
-    sizes = written(every.groupBy("lang").agg(F.sum("c").alias("n")), "sizes")
+    totals = written(every.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     frequent = every.where(F.col("c") >= least)
-    last, phrases = frequent, None
-    for words in range(2, max_words + 1):
-        names = [f"w{i + 1}" for i in range(words)]
-        found = rows.mapInArrow(_phrase_counts(words, filter_of(last, words - 1)), ", ".join(f"{c} long" for c in [*names, "c"]))
-        last = written(found.groupBy(names).agg(F.sum("c").alias("c")).where(F.col("c") >= least), "phrases")
-        more = last.select(F.lit(words).alias("words"), *names, *[F.lit(None).cast("long").alias(f"w{i + 1}") for i in range(words, max_words)], "c")
-        phrases = more if phrases is None else phrases.unionByName(more)
-    return sizes, frequent, phrases
+    names = [f"w{i + 1}" for i in range(max_words)]
+
+    def phrases(sizes: range, of: DataFrame, part: int) -> DataFrame:
+        schema = ", ".join(["words int", *[f"{c} long" for c in names], "c long"])
+        found = rows.mapInArrow(_phrase_counts(sizes, filter_of(of, part), part, max_words), schema)
+        return written(found.groupBy("words", *names).agg(F.sum("c").alias("c")).where(F.col("c") >= least), "phrases")
+
+    pairs = phrases(range(2, 3), frequent, 1)
+    return totals, frequent, pairs.unionByName(phrases(range(3, max_words + 1), pairs, 2))
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80) -> DataFrame:
