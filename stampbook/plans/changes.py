@@ -613,7 +613,7 @@ def _(t):
 
     ingest.ingest_incremental(d.where("lang = 'en' OR lang = 'es'"), sink, ["doc_id"], work, dead)
     ingest.ingest_incremental(d.where("lang <> 'es'"), sink, ["doc_id"], work, dead)
-    done, failed = t.spark.read.parquet(sink), t.spark.read.parquet(dead)
+    done, failed = ingest.loaded(t.spark, sink), ingest.Batches(t.spark, sink).read("errors")
     return done.select(F.lit("salida").alias("destino"), "doc_id", "n_chars").unionByName(
         failed.select(F.lit("errores").alias("destino"), "doc_id", F.lit(None).cast("long").alias("n_chars"))
     )
@@ -632,6 +632,21 @@ def _(t):
     return stream.ingested(t.spark, sink).select("carpeta", "archivo", "orden", "valor")
 
 
+@query("w1_compacted", """
+    SELECT CAST(user_id AS STRING) AS carpeta, event_type AS archivo, max(event_id) AS orden, arg_max(value, event_id) AS valor FROM events GROUP BY 1, 2""")
+def _(t):
+    src, sink = _folder(t, "stream-in"), _folder(t, "stream-out")
+    schema = T.StructType.fromDDL("carpeta string, archivo string, orden bigint, valor double, error string")
+    rows = t.raw("events").selectExpr("CAST(user_id AS STRING) AS carpeta", "event_type AS archivo", "event_id AS orden", "value AS valor", "CAST(NULL AS STRING) AS error")
+    places = [_folder(t, "stream-checkpoint"), _folder(t, "stream-dead")]
+    median = rows.agg(F.median("orden")).first()[0]
+    for part in (F.col("orden") <= median, F.col("orden") > median):  # one compaction between two runs, one after them
+        rows.where(part).repartitionByRange(3, "orden").write.mode("append").json(src)
+        stream.stream_ingest(t.spark, src, schema, sink, *places, files_per_batch=2).awaitTermination()
+        stream.compact(t.spark, sink)
+    return stream.ingested(t.spark, sink).select("carpeta", "archivo", "orden", "valor")
+
+
 @query("u11_delete_marks", w("marcas", """
     SELECT id FROM marcas WHERE estado <> 'baja'"""))
 def _(t):

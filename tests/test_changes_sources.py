@@ -11,6 +11,7 @@ from stampbook.operators import guides, sequence
 from stampbook.operators.aggregates import ingest_counts
 from stampbook.operators.filters import validate_rows
 from stampbook.operators.relations import link_pages, lookup_ordered, plan_retirement, retirement_counts, save_selection
+from stampbook.sources.commits import Batches, latest
 from stampbook.sources import delimited, export, ingest, page_index, snapshot
 from stampbook.streaming import pages as stream
 
@@ -257,6 +258,46 @@ def test_stream_ingest(spark, tmp_path):
     assert rows(stream.current_pages(stored, spark, sink), "archivo", "numero_guia", "accion") == [("1", "mano", "protegida"), ("2", "z", "nueva")]
 
 
+def test_batches_count_once_committed(spark, tmp_path):
+    """A writer that stops between its writes or before its commit leaves nothing that a reader sees; a compaction changes no row."""
+    sink = str(tmp_path / "sink")
+    b = Batches(spark, sink)
+    assert b.last() == -1 and b.read() is None
+    want = {}
+    for n in range(12):
+        part = spark.createDataFrame([(k, n) for k in range(n % 5 + 1)], "k int, v int")
+        part.write.parquet(b.folder(n, "data"))
+        assert b.last() == n - 1
+        assert b.publish(n, {"data": b.folder(n, "data")}, {"data": part.count()})
+        assert not b.publish(n, {}, {})
+        want |= {r.k: r.v for r in part.collect()}
+    spark.createDataFrame([(0, 99)], "k int, v int").write.parquet(b.folder(12, "data"))  # never committed
+    now = lambda: {r.k: r.v for r in latest(b.read(), ["k"]).collect()}
+    assert now() == want
+    before = len(b.read().inputFiles())
+    assert b.compact(["k"]) == 11 and now() == want and b.compact(["k"]) == 11
+    assert len(b.commits()) == 1 and len(b.read().inputFiles()) < before
+    spark.createDataFrame([(3, 100)], "k int, v int").write.mode("overwrite").parquet(b.folder(12, "data"))
+    b.publish(12, {"data": b.folder(12, "data")}, {})
+    assert now() == {**want, 3: 100} and len(b.commits()) == 2
+    assert b.compact(["k"]) == 12 and now() == {**want, 3: 100}
+
+
+def test_ingest_that_stops_between_its_writes(spark, tmp_path, monkeypatch):
+    src = spark.range(6)
+    sink, dead = str(tmp_path / "sink"), str(tmp_path / "dead")
+    work = lambda df: df.withColumn("error", F.when(F.col("id") > 3, "roto"))
+    monkeypatch.setattr(Batches, "publish", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError):
+        ingest.ingest_incremental(src, sink, ["id"], work, dead)
+    monkeypatch.undo()
+    assert ingest.loaded(spark, sink) is None and ingest.open_errors(spark, sink, ["id"]) is None
+    assert ingest.ingest_incremental(src, sink, ["id"], work, dead) == {"procesadas": 4, "errores": 2}
+    assert ingest.loaded(spark, sink).count() == 4 and ingest.open_errors(spark, sink, ["id"]).count() == 2
+    assert ingest.ingest_incremental(src, sink, ["id"], lambda df: df.withColumn("error", F.lit(None).cast("string")), dead) == {"procesadas": 2, "errores": 0}
+    assert ingest.open_errors(spark, sink, ["id"]).count() == 0
+
+
 def test_export_frame(spark, tmp_path):
     df = spark.sql("select 'compra' tipo_operacion, true guia_colisionada, timestamp'2024-07-01 12:00:00' creado_en, cast(null as int) cantidad")
     heads = {"tipo_operacion": "Tipo", "guia_colisionada": "Colisiona", "creado_en": "Creado", "cantidad": "Cantidad"}
