@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stampbook.llm.common import SPACE_CLASS, small_broadcast, words_of, written
+from stampbook.llm.common import SPACE_CLASS, small_broadcast, tidy, words_of, written
 
 #: Character classes, each taken out of what the ones before it left; the rest is a class too.
 CLASSES = {"lower": "[a-z]+", "space": f"[{SPACE_CLASS}]+", "upper": "[A-Z]+", "digit": "[0-9]+", "point": r"[.,;:!?'\"()-]+", "symbol": "[#*$%&|<>]+"}
@@ -20,9 +20,9 @@ BROADCAST_LANGUAGES = 10_000
 WINDOW = 8
 
 
-def _common_words(docs: DataFrame, longest: int) -> DataFrame:
-    """Per language its most frequent short words, most frequent first, counted over all documents."""
-    words = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word")).where(F.length("word") <= longest)
+def _common_words(docs: DataFrame) -> DataFrame:
+    """Per language its most frequent words, most frequent first, counted over all documents."""
+    words = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "word"))
     top = counts.withColumn("place", place).where(F.col("place") <= len(CODES))
@@ -52,10 +52,10 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("hashes", "windows", "sorted", "twins")
 
 
-def counted(docs: DataFrame, longest: int = 5) -> DataFrame:
+def counted(docs: DataFrame) -> DataFrame:
     """One narrow row per document: base counts, ``classes`` and ``common`` (histograms as arrays of counts), n_words, lang."""
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    common = small_broadcast(written(_common_words(docs, longest), "common"), BROADCAST_LANGUAGES)
+    common = small_broadcast(written(_common_words(docs), "common"), BROADCAST_LANGUAGES)
     df = docs.join(common, "lang", "left").withColumn("words", words_of(F.col("text")))
 
     names, left = list(CLASSES), "text"
@@ -122,6 +122,7 @@ def quality(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.45
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+@tidy
 def op7_divergence(spark, folder: str) -> DataFrame:
     """Every whole text of documents."""
     return quality(spark.read.parquet(f"{folder}/documents.parquet"))

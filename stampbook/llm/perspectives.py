@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stampbook.llm.common import written
+from stampbook.llm.common import scratch_folder, tidy, written
 from stampbook.operators.numbering import numbered
 
 SYSTEM = "system"
@@ -34,7 +34,7 @@ def rotated(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
     name = F.regexp_replace("role", "[^A-Za-z0-9_-]", "_")
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
     rows = rows.withColumn("name", F.when(name == "", F.lit(UNNAMED)).otherwise(name))
-    placed = numbered(rows, [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("name"), F.col("text"), F.col("role")], "at")
+    placed = numbered(rows, [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("name"), F.col("text"), F.col("role")], "at", scratch_folder(conversations.sparkSession))
     first = written(placed.groupBy("conv_id").agg(F.min("at").alias("first")), "first").withColumnRenamed("conv_id", "_c")
     roles = written(placed.where(F.col("role") != SYSTEM).select("conv_id", "role", "name").distinct(), "roles")
     shared = roles.groupBy("conv_id", "name").agg((F.min("role") != F.max("role")).alias("shared")).where("shared").select(F.col("conv_id").alias("_c"), F.col("name").alias("_n"))
@@ -68,16 +68,19 @@ def rotated(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame
     )
 
 
+@tidy
 def op6_perspectives(spark, folder: str) -> DataFrame:
     """The whole of conversations."""
     return rotated(spark.read.parquet(f"{folder}/conversations.parquet"))
 
 
 CHECK = f"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN '{UNNAMED}' ELSE regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END AS name,
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, CASE WHEN coalesce(role, '') = '' THEN '{UNNAMED}' ELSE regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END AS plain,
     replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, name, text) - 1 AS pos FROM t),
-p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> '{SYSTEM}'),
+r AS (SELECT conv_id, role, plain, count(*) OVER (PARTITION BY conv_id, plain) AS sharing FROM (SELECT DISTINCT conv_id, role, plain FROM t WHERE role <> '{SYSTEM}')),
+p AS (SELECT conv_id, role, CASE WHEN sharing = 1 OR role = plain THEN plain WHEN role = '' THEN '%' ELSE replace(replace(url_encode(role), '%2A', '*'), '~', '%7E') END AS perspective FROM r),
+n AS (SELECT t.*, coalesce(p.perspective, plain) AS name, row_number() OVER (PARTITION BY t.conv_id ORDER BY turn NULLS LAST, plain, text, t.role) - 1 AS pos
+    FROM t LEFT JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.role = p.role),
 v AS (SELECT n.conv_id, perspective, (pos // {PART_TURNS})::INTEGER AS part, pos, name = perspective AS own, text,
     CASE WHEN name = perspective THEN '<|assistant|>' WHEN name = '{SYSTEM}' THEN '<|system|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head
     FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),

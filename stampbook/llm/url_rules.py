@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampbook.llm.common import small_broadcast
+from stampbook.llm.common import small_broadcast, tidy
 
 #: Site rules: host and path joined, with the verdict for that host, its subdomains, and paths that start so.
 SITES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -13,7 +13,12 @@ SITES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 PATTERNS = [
     ("*/login/*", "block"), ("*/signin/*", "block"), ("*/cart/*", "block"), ("*/checkout/*", "block"), ("*/ads/*", "block"),
     ("*.casino.*", "block"), ("*/casino/*", "block"), ("*.porn.*", "block"), ("*/porn/*", "block"), ("*/wp-admin/*", "block"),
-]
+    ("*-farm.*", "block"), ("*onlinecasino*", "block"), ("*%00*", "block"), ("*/casino/licence/*", "allow"),
+]
+#: Numbered servers, slots and pages of advertisements, in families of so many rules. The first three share a word; its number tells them apart.
+NUMBERED = 1000
+FAMILIES = ["*/banner/{}/*", "*/popup/{}/*", "*/slot/{}?*", "*.ads{}.*", "*.track{}.*", "*/ad{}.html*"]
+PATTERNS += [(family.format(i), "block") for family in FAMILIES for i in range(NUMBERED)]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"://([^/?#]*)([^?#]*)"
 MAX_BROADCAST_RULES = 200_000
@@ -87,17 +92,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     )
 
 
+@tidy
 def op3_url_rules(spark, folder: str) -> DataFrame:
     """Every page's url against the site rules and patterns."""
     return judge(spark.read.parquet(f"{folder}/pages.parquet"), rule_table(spark))
 
 
 def _sql_patterns() -> str:
-    lines = []
-    for label, verdict in PATTERNS:
-        regex = "^" + "".join(".*" if c == "*" else c if c.isalnum() or c in "_-/" else "\\" + c for c in label) + "$"
-        lines.append(f"({len(label)}, '{label}', '{verdict}', '{regex}')")
-    return ", ".join(lines)
+    like = lambda label: label.replace("%", "!%").replace("_", "!_").replace("*", "%")
+    return ", ".join(f"({len(label)}, '{label}', '{verdict}', '{like(label)}')" for label, verdict in PATTERNS)
 
 
 CHECK = f"""
@@ -105,11 +108,11 @@ WITH a AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '{ADDRESS
     coalesce(regexp_extract(url, '{ADDRESS}', 2), '') AS path,
     coalesce(regexp_extract(url, '://[^/?#]*[^?#]*(.*)$', 1, 's'), '') AS rest FROM pages),
 sites(label, host, path, verdict) AS (VALUES {", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in SITES)}),
-patterns(rank, label, verdict, regex) AS (VALUES {_sql_patterns()}),
+patterns(rank, label, verdict, shape) AS (VALUES {_sql_patterns()}),
 site AS (SELECT a.page_id, max_by(s.label, printf('%05d%s', length(s.label), s.label)) AS label, max_by(s.verdict, printf('%05d%s', length(s.label), s.label)) AS verdict FROM a JOIN sites s
     ON (a.host = s.host OR ends_with(a.host, '.' || s.host)) AND starts_with(a.path, s.path) GROUP BY 1),
 pat AS (SELECT a.page_id, max_by(p.label, printf('%05d%s', p.rank, p.label)) AS label, max_by(p.verdict, printf('%05d%s', p.rank, p.label)) AS verdict FROM a JOIN patterns p
-    ON regexp_matches('.' || a.host || a.path || a.rest, p.regex, 's') WHERE a.url LIKE '%://%' GROUP BY 1)
+    ON '.' || a.host || a.path || a.rest LIKE p.shape ESCAPE '!' WHERE a.url LIKE '%://%' GROUP BY 1)
 SELECT a.page_id, a.host, a.path, site.label AS rule, coalesce(site.verdict, pat.verdict, 'allow') AS verdict,
     CASE WHEN site.label IS NULL THEN pat.label END AS pattern
 FROM a LEFT JOIN site USING (page_id) LEFT JOIN pat USING (page_id)"""
