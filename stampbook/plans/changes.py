@@ -639,11 +639,13 @@ def _(t):
     schema = T.StructType.fromDDL("carpeta string, archivo string, orden bigint, valor double, error string")
     rows = t.raw("events").selectExpr("CAST(user_id AS STRING) AS carpeta", "event_type AS archivo", "event_id AS orden", "value AS valor", "CAST(NULL AS STRING) AS error")
     places = [_folder(t, "stream-checkpoint"), _folder(t, "stream-dead")]
-    median = rows.agg(F.median("orden")).first()[0]
-    for part in (F.col("orden") <= median, F.col("orden") > median):  # one compaction between two runs, one after them
-        rows.where(part).repartitionByRange(3, "orden").write.mode("append").json(src)
-        stream.stream_ingest(t.spark, src, schema, sink, *places, files_per_batch=2).awaitTermination()
-        stream.compact(t.spark, sink)
+    quarters = rows.agg(F.percentile("orden", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))).first()[0]
+    for k in range(4):  # every quarter of the events is a run of its own; compactions between and after them
+        low, high = ([-1.0, *quarters][k], [*quarters, 1e300][k])
+        rows.where((F.col("orden") > low) & (F.col("orden") <= high)).write.mode("append").json(src)
+        stream.stream_ingest(t.spark, src, schema, sink, *places).awaitTermination()
+        if k % 2:
+            stream.compact(t.spark, sink)
     return stream.ingested(t.spark, sink).select("carpeta", "archivo", "orden", "valor")
 
 
