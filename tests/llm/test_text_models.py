@@ -207,6 +207,27 @@ def test_recall_of_short_items_in_long_documents(spark):
     assert all(doc < 1000 for doc, _ in got)
 
 
+def test_recall_of_paraphrases_without_a_common_run(spark):
+    """Every third word another one: no run of four words is left, so only the latent space can find them; brute force confirms all."""
+    r = random.Random(12)
+    words = prose(5, 4000, 3000).split()
+    bench = [" ".join(r.choice(words) for _ in range(r.randint(36, 64))) for _ in range(150)]
+    rows = []
+    for i, item in enumerate(bench):
+        w = item.split()
+        w = [x if k % 3 else r.choice(words) for k, x in enumerate(w)]
+        text = [r.choice(words) for _ in range(r.randint(50, 400))]
+        at = r.randint(0, len(text))
+        text[at:at] = w
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + k, " ".join(r.choice(words) for _ in range(300))) for k in range(150)]
+    want = {(i, i) for i, item in enumerate(bench) if common_subsequence(rows[i][1].split(), item.split()) >= 0.6 * len(item.split())}
+    docs = documents(spark, rows, clash=False)
+    got = {(x.doc_id, h.item_id) for x in contaminated(docs, items(spark, bench), sure=0.6).collect() for h in x.hits}
+    assert len(want) > 140 and len(want & got) >= 0.9 * len(want)
+    assert all(doc < 1000 for doc, _ in got)
+
+
 def test_decontamination_of_empty_tables(spark):
     assert contaminated(documents(spark, []), items(spark, ["a b c"])).count() == 0
     assert [x.contaminated for x in contaminated(documents(spark, [(1, "a b c")]), items(spark, [])).collect()] == [False]
