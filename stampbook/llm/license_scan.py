@@ -1,8 +1,8 @@
 """License scans: short notices with a few edits, found by exact seeds and verified by bounded-error matching.
 
-A notice that may carry e edits is split into e + 1 pieces: at least one of them stands unchanged in any text that holds the notice
-with at most e edits. So the pieces are sought as they are, and only around their places the ``regex`` library matches the whole
-notice with bounded errors. Where matches overlap, the one with the fewest edits counts (then the longest, then the first).
+A notice that may carry e edits is split into e + 2 pieces: at least two of them stand unchanged in any text that holds the notice with
+at most e edits, and at most e characters farther apart or nearer than in the notice. So the pieces are sought as they are, and only
+where two of them agree on a place the ``regex`` library matches the whole notice there with bounded errors. Where matches overlap, the one with the fewest edits counts (then the longest, then the first).
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from stampbook.llm.textbytes import buffer, slices
 
 #: Letters and digits of a notice for each edit it may carry, and the least length of a piece.
 CHARS_PER_EDIT, LEAST_PIECE = 9, 5
+#: Edits at most, however long the notice: the cost of a bounded-error match grows steeply with them.
+MAX_EDITS = 5
 
 #: Bytes of words as they are compared (A-Z lower-cased), all others as blanks.
 KEPT = np.full(256, 0x20, np.uint8)
@@ -43,9 +45,9 @@ class Notice:
 
     def __post_init__(self):
         n = len(self.text)
-        edits = min(n // CHARS_PER_EDIT, n // LEAST_PIECE - 1)
-        edits = max(edits, 0)
-        cuts = [n * i // (edits + 1) for i in range(edits + 2)]
+        edits = max(0, min(n // CHARS_PER_EDIT, MAX_EDITS, n // LEAST_PIECE - 2))
+        parts = edits + 2 if edits else 1
+        cuts = [n * i // parts for i in range(parts + 1)]
         object.__setattr__(self, "edits", edits)
         object.__setattr__(self, "pieces", tuple((a, self.text[a:b].encode()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)))
 
@@ -101,16 +103,23 @@ class Scanner:
         fuzzy, exact = [], []
         for k, n in enumerate(self.notices):
             whole, seen = n.text.encode(), -1
-            windows: list[list[int]] = []
-            for offset, piece in n.pieces:
+            starts = []  # (where the notice would begin, piece)
+            for i, (offset, piece) in enumerate(n.pieces):
                 at = text.find(piece)
                 while at >= 0:
                     a = at - offset
                     if n.base and offset == 0 and text[a - 1 : a + len(whole) + 1] == b" %s " % whole:
                         exact.append((a, a + len(whole), 0, k))
-                    windows.append([a - n.edits - 1, a + len(whole) + n.edits + 1])
+                    starts.append((a, i))
                     at = text.find(piece, at + 1)
-            windows.sort()
+            starts.sort()
+            windows = []
+            for x, (a, i) in enumerate(starts):
+                y = x + 1
+                while n.edits and y < len(starts) and starts[y][0] <= a + n.edits and starts[y][1] == i:
+                    y += 1
+                if not n.edits or y < len(starts) and starts[y][0] <= a + n.edits:
+                    windows.append((a - n.edits - 1, a + len(whole) + 2 * n.edits + 1))
             for a, b in windows:
                 a = max(a, seen)  # what lies before has been matched
                 while 0 <= a < b:
@@ -156,7 +165,7 @@ def scanned(docs: DataFrame, base: list[Notice] = BASE, notices: list[Notice] =
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. ``base`` notices count wherever their
     words stand unchanged; those and ``notices`` are also found with up to one edit (a character put in, left out or changed) for
-    every ``CHARS_PER_EDIT`` characters, their firm words unchanged. Result: doc_id, n_words, n_base (exact places of base
+    every ``CHARS_PER_EDIT`` characters, ``MAX_EDITS`` at most, their firm words unchanged. Result: doc_id, n_words, n_base (exact places of base
     notices), first_word and last_word (their smallest and largest first word, from 0; missing if none), base_labels, labels (both
     kinds; distinct, sorted, comma-joined), score (1 - edits / length of the closest match; 0 without one), spans (label, first and
     last word, edits, exact: a base place). A missing text is empty; repeated rows are scanned alike; other columns are ignored;
