@@ -152,3 +152,19 @@ def ingest_counts(changes: DataFrame, number: str = "numero_guia", source: str =
         F.count_if(F.col("accion") == "actualizada").alias("actualizadas"),
         F.count_if(F.col("accion") == "protegida").alias("protegidas"),
     )
+
+
+def load_counts(changes: DataFrame, marks: DataFrame, images: DataFrame) -> DataFrame:
+    """``ingest_counts`` with ``imagenes``, loaded pages whose image and thumbnail are both there, and ``marcas_vinculadas``, marks
+    that the load links to their page.
+
+    ``images`` (carpeta, archivo, imagen, miniatura) tells per page which of the two was delivered; ``marks`` as stored.
+    """
+    page = ["carpeta", "archivo"]
+    whole = images.where(F.col("imagen").isNotNull() & F.col("miniatura").isNotNull()).select(*page)
+    loaded = changes.where(F.col("accion") != "sin_cambio").select(*page).distinct()
+    pages = loaded.join(whole.distinct(), page, "left_semi").agg(F.count(F.lit(1)).alias("imagenes"))
+    known = changes.select(F.col("carpeta").alias("origen_carpeta"), F.col("archivo").alias("origen_pagina")).distinct()
+    linked = marks.where(F.col("escaneo_id").isNull()).join(known, ["origen_carpeta", "origen_pagina"], "left_semi").agg(F.count(F.lit(1)).alias("marcas_vinculadas"))
+    one = [x.withColumn("_one", F.lit(1)) for x in (ingest_counts(changes), pages, linked)]
+    return one[0].join(one[1], "_one").join(one[2], "_one").drop("_one")

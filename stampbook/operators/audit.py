@@ -9,7 +9,7 @@ from stampbook.functions.numbers import swapped_at
 from stampbook.functions.text import eight_digit_numbers
 from stampbook.operators.filters import visible
 from stampbook.operators.guides import cited_facts
-from stampbook.operators.ordering import Key, ranked, top_n
+from stampbook.operators.ordering import Key, all_small, ranked, top_n
 from stampbook.operators.relations import usable
 from stampbook.schemas import ANEXO, CERTIFICADO, PREFIJOS_CONOCIDOS, PRINCIPAL
 
@@ -272,16 +272,19 @@ def cited_marks(cited: DataFrame, marks: DataFrame, pages: DataFrame, ops: DataF
     """Usable marks of each cited guide (all, or the first ``n``), reached through their page or their operation, dominant first."""
     numbers = cited.where(F.col("cod") == "G").select(F.col("numero").alias("numero_guia")).distinct()
     shown = ["id", "codigo", "tipo", "estado", *(["descripcion"] if "descripcion" in marks.columns else [])]
-    m = usable(marks).select(*shown, "escaneo_id", "operacion_id")
+    m = usable(marks)
 
     def through(parents: DataFrame, column: str) -> DataFrame:
         wanted = parents.select(F.col("id").alias(column), "numero_guia").join(numbers, "numero_guia", "left_semi")
-        return m.join(wanted, column, "inner").select("numero_guia", *shown)
+        return m.select("id", column).join(wanted, column, "inner").select("numero_guia", "id")
 
-    reached = through(pages, "escaneo_id").unionByName(through(ops, "operacion_id")).distinct()
-    placed = reached.withColumn("_d", F.when(F.col("tipo") == "dominante", 0).otherwise(1))
+    reached = through(pages, "escaneo_id").unionByName(through(ops, "operacion_id")).distinct()  # narrow: details come after
+    placed = reached.join(m.select(*shown), "id").select("numero_guia", *shown).withColumn("_d", F.when(F.col("tipo") == "dominante", 0).otherwise(1))
     order = [Key("_d"), Key("codigo")]
-    found = ranked(placed, ["numero_guia"], order, "posicion") if n is None else top_n(placed, ["numero_guia"], order, n, "posicion")
+    if n is None:
+        found = ranked(placed, ["numero_guia"], order, "posicion", small=all_small(reached, ["numero_guia"]))
+    else:
+        found = top_n(placed, ["numero_guia"], order, n, "posicion")
     return found.drop("_d")
 
 

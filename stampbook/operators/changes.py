@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stampbook.operators.aggregates import action_counts
 from stampbook.operators.filters import no_mark_reason
 from stampbook.operators.numbering import joined_numbers
-from stampbook.operators.ordering import all_small, scan, split
+from stampbook.operators.ordering import all_small, read_order, scan, split
 from stampbook.operators.relations import deletion_plan, match_files
 from stampbook.schemas import PREFIJO_NO_MARCA
 
@@ -103,7 +103,8 @@ MANIFEST_COLUMNS = [
 
 
 def import_manifest(cur: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(snapshot with ``accion``, counts). Rows without an image are skipped; ``revisar`` decides the state."""
+    """(snapshot with ``accion``, counts). Rows without an image are skipped; ``revisar`` decides the state. Of rows with one
+    code the last as read counts (``ordering.read_order``)."""
     has_image = F.coalesce(F.col("png") != "", F.lit(False))
     rows = manifest.where(has_image).select(
         "codigo", F.col("png").alias("archivo_png"), F.nullif("svg", F.lit("")).alias("archivo_svg"), "hoja", "fila", "columna",
@@ -111,7 +112,7 @@ def import_manifest(cur: DataFrame, manifest: DataFrame) -> tuple[DataFrame, Dat
         F.when(F.col("revisar"), "revisar").otherwise("activa").alias("estado"),
         F.nullif("observaciones", F.lit("")).alias("observaciones"),
     )
-    merged = merge(cur, rows.withColumn("_read", F.monotonically_increasing_id()), ["codigo"], MANIFEST_COLUMNS, order="_read")
+    merged = merge(cur, read_order(rows, "_read"), ["codigo"], MANIFEST_COLUMNS, order="_read")
     counts = merged.agg(
         F.count_if(F.col("accion") == NEW).alias("nuevas"), F.count_if(F.col("accion") == UPDATED).alias("actualizadas"),
         F.lit(0).cast("long").alias("omitidas"),
@@ -212,7 +213,7 @@ def import_batch(
     """
     source = ops.withColumns({"origen": F.lit(batch), "origen_id": F.col("id").cast("long")}).drop("id")
     update = [c for c in OPERATION_FIELDS if c in ops.columns and c in cur_ops.columns]
-    new_ops = merge(cur_ops, source.withColumn("_read", F.monotonically_increasing_id()), ["origen", "origen_id"], update, order="_read")
+    new_ops = merge(cur_ops, read_order(source, "_read"), ["origen", "origen_id"], update, order="_read")
 
     sellers = ops.where(F.coalesce(F.col("vendedor_nombre") != "", F.lit(False))).select(
         F.col("id").cast("long").alias("row"), F.col("vendedor_nombre").alias("nombre"),
@@ -275,12 +276,12 @@ PAGE_KEY = ["carpeta", "archivo"]
 
 def protected_upsert(cur: DataFrame, inc: DataFrame, key: list[str] | None = None, order: str | None = None) -> DataFrame:
     """Page load that leaves rows corrected by hand (source ``manual`` or reviewed) as they are. Of a page loaded twice the last
-    by ``order`` counts, or as read."""
+    by ``order`` counts, or as read (``ordering.read_order``)."""
     key = key or PAGE_KEY
     guard = F.coalesce(F.col("fuente_numero") == "manual", F.lit(False)) | F.coalesce("revisado", F.lit(False))
     update = [c for c in inc.columns if c in cur.columns and c not in key]
     if order is None:
-        order, inc = "_read", inc.withColumn("_read", F.monotonically_increasing_id())
+        order, inc = "_read", read_order(inc, "_read")
     return merge(cur, inc, key, update, protected=guard, order=order)
 
 

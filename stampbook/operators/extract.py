@@ -62,7 +62,7 @@ def compact_lines(lines: Column) -> Column:
         lines,
         lambda l, i: F.struct(
             i.alias("i"), l["texto"].alias("texto"), F.upper(without_spaces(l["texto"])).alias("t"),
-            centre(l, 0).alias("cx"), centre(l, 1).alias("cy"), l["conf"].cast("double").alias("conf"),
+            centre(l, 0).alias("cx"), centre(l, 1).alias("cy"), l["conf"].cast("double").alias("conf"), l["caja"].alias("caja"),
         ),
     )
 
@@ -80,8 +80,11 @@ def nearest_label(candidates: Column, labels: Column, x_weight: float = X_WEIGHT
     return let(F.struct(candidates.alias("c"), labels.alias("e")), pick)
 
 
-def extract_fields(pages: DataFrame, lines: str = "lineas", height: str = "alto", excluded: str | None = None) -> DataFrame:
-    """Number (with source and confidence), certificate, owner, establishment, animals and date of each page."""
+def extract_fields(pages: DataFrame, lines: str = "lineas", height: str = "alto", excluded: str | None = None, owner_box: bool = False) -> DataFrame:
+    """Number (with source and confidence), certificate, owner, establishment, animals and date of each page.
+
+    ``owner_box`` adds ``caja_propietario``, the corners of the line that a certificate's owner was read from, for a second reading.
+    """
     base = pages.withColumn("_l", compact_lines(F.col(lines))).withColumn(
         "_todo", F.array_join(F.transform("_l", lambda l: l["texto"]), "\n")
     )
@@ -142,6 +145,8 @@ def extract_fields(pages: DataFrame, lines: str = "lineas", height: str = "alto"
         "cantidad_animales": F.when(is_cert, starred),
         "fecha_texto": _found(F.col("_todo"), RE_DATE),
     }
+    if owner_box:
+        out["caja_propietario"] = F.when(is_cert, _first(names)["caja"])
     return base.withColumns(out).drop("_l", "_todo", "_nums", "_cert", "_pick", "_own")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,3 +276,19 @@ def packed(df: DataFrame, keys, order, item: Column, size: int, name: str) -> Da
         .agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), item.alias("v")))).alias("_list"))
         .select(*keys, "parte", F.transform("_list", lambda x: x["v"]).alias(name))
     )
+
+
+def read_order(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``name``, a sortable column: where its rows stand in the files they come from, however the table is partitioned.
+
+    Parquet knows the row in the file; other files give the start of the split and the row in it (so order them before they are
+    repartitioned). Frames that come from no file have no order of their own: their rows sort by their values.
+    """
+    for place in (["file_path", "row_index"], ["file_path", "file_block_start"]):
+        try:
+            df.select(*[F.col(f"_metadata.{c}") for c in place])
+        except AnalysisException:
+            continue
+        parts = [F.col(f"_metadata.{c}").alias(c) for c in place]
+        return df.select("*", F.struct(*parts, *([] if "row_index" in place else [F.monotonically_increasing_id().alias("at")])).alias(name))
+    return df.withColumn(name, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))

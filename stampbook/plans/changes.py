@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 
 from stampbook.operators import changes as chg
 from stampbook.operators import similar as sim
-from stampbook.operators.aggregates import action_counts, ingest_counts
+from stampbook.operators.aggregates import action_counts, ingest_counts, load_counts
 from stampbook.operators.relations import export_marks, export_operations, plan_retirement
 from stampbook.plans.bindings import with_bindings as w
 from stampbook.plans.catalogue import _DECISIONS, _decisions
 from stampbook.plans.registry import query
 from stampbook.session import checkpoint_dir
+from stampbook.sources.buckets import Buckets
 from stampbook.sources import delimited, export, ingest, page_index, snapshot
 from stampbook.streaming import pages as stream
 
@@ -285,6 +286,28 @@ def _(t):
     return ingest_counts(_upsert(t))
 
 
+@query("a10_load_counts", w("escaneos marcas", _UPSERT + """
+    , img AS (SELECT carpeta, archivo FROM escaneos WHERE formato IS NOT NULL AND coalesce(numero_guia, '') <> '')
+    SELECT count(*) AS paginas, count(*) FILTER (WHERE starts_with(fuente_numero, 'inferido')) AS inferidas, count(*) FILTER (WHERE numero_guia <> '') AS con_numero,
+      count(*) FILTER (WHERE accion = 'nueva') AS nuevas, count(*) FILTER (WHERE accion = 'actualizada') AS actualizadas, count(*) FILTER (WHERE accion = 'protegida') AS protegidas,
+      (SELECT count(DISTINCT (u.carpeta, u.archivo)) FROM u JOIN img ON img.carpeta = u.carpeta AND img.archivo = u.archivo WHERE accion <> 'sin_cambio') AS imagenes,
+      (SELECT count(*) FROM marcas WHERE escaneo_id IS NULL AND (origen_carpeta, origen_pagina) IN (SELECT (carpeta, archivo) FROM u)) AS marcas_vinculadas FROM u"""))
+def _(t):
+    images = t.escaneos.select("carpeta", "archivo", F.col("formato").alias("imagen"), F.nullif("numero_guia", F.lit("")).alias("miniatura"))
+    return load_counts(_upsert(t), t.marcas, images)
+
+
+@query("u1_bucket_merge", w("operaciones", _SLICES + """
+    SELECT id, CASE WHEN nuevo THEN inu ELSE cn END AS numero_guia, CASE WHEN nuevo THEN ir ELSE cr END AS revisar,
+      CASE WHEN viejo THEN cf ELSE fi END AS fecha, CASE WHEN viejo THEN ca ELSE ia END AS activo FROM j"""))
+def _(t):
+    cur, inc = _slices(t)
+    stored = Buckets(t.spark, _folder(t, "buckets"))
+    stored.create(cur, ["id"], 32)
+    stored.merge(inc, ["numero_guia", "revisar"])
+    return stored.read()
+
+
 @query("a10_action_counts", w("escaneos", _UPSERT + " SELECT accion, count(*) AS n FROM u GROUP BY 1"))
 def _(t):
     return action_counts(_upsert(t))

@@ -309,12 +309,24 @@ _DAY = "concat(lpad(CAST(o_orderkey % 28 + 1 AS STRING), 2, '0'), '/0', CAST(o_o
       CASE WHEN c THEN concat('ESTABLECIMIENTO ', CAST(o_custkey + 5000000 AS STRING)) END AS establecimiento,
       CASE WHEN c THEN {_ANIMALS} END AS cantidad_animales, d AS fecha_texto FROM p""")
 def _(t):
-    pages = t.raw("orders").selectExpr("*", f"{_NUMBER} AS numero", f"{_DAY} AS fecha").selectExpr(
+    return extract.extract_fields(_ocr_pages(t), excluded="80000001").drop("alto", "formato", "lineas")
+
+
+@query("x1_owner_box", f"""
+    SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN {_OWNER} WHEN o_orderstatus = 'O' THEN concat('AGRO ', CAST(o_custkey AS STRING), ' LTDA') END AS propietario,
+      CASE WHEN o_orderstatus = 'F' THEN '295,196 305,196 305,206 295,206' END AS caja FROM orders""")
+def _(t):
+    found = extract.extract_fields(_ocr_pages(t), excluded="80000001", owner_box=True)
+    corners = F.transform("caja_propietario", lambda p: F.concat_ws(",", *[F.format_string("%d", p[i].cast("long")) for i in range(2)]))
+    return found.select("id", "propietario", F.when(F.col("caja_propietario").isNotNull(), F.array_join(corners, " ")).alias("caja"))
+
+
+def _ocr_pages(t):
+    return t.raw("orders").selectExpr("*", f"{_NUMBER} AS numero", f"{_DAY} AS fecha").selectExpr(
         "o_orderkey AS id", "1600 AS alto",
         "CASE o_orderstatus WHEN 'F' THEN 'SENACSA_CERTIFICADO' WHEN 'O' THEN 'GE2_PRINCIPAL' ELSE 'CIEFA_GO2' END AS formato",
         f"CASE WHEN o_orderstatus = 'F' THEN array({_CERT_LINES}) ELSE array({_GUIDE_LINES}) END AS lineas",
     )
-    return extract.extract_fields(pages, excluded="80000001").drop("alto", "formato", "lineas")
 
 
 @query("x2_nearest_label", """
