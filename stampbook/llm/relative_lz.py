@@ -1,11 +1,15 @@
-"""Removal of word windows that occur in an earlier document, by relative Lempel-Ziv parsing against all documents.
-
-Every document is reference for the later ones. The reference is indexed in blocks: the stretch of text whose windows share
-one representative gram (see ``repeats``), so that a block equals another one wherever the text is the same, whatever came
-before it. Parsing a document against the index is greedy: a factor starts at the first window found in an earlier document
-and goes on as long as the next window is found in any earlier one. Whole equal blocks extend a factor at once; at its ends,
-where a block differs from the indexed ones, single windows are looked up (the check at factor boundaries), so that a factor
-ends at exactly the last repeated word. Stretches shorter than a window are literals and stay.
+"""Removal of word windows that occur in an earlier document, as factors relative to all documents before it.
+
+A greedy relative Lempel-Ziv parse takes at each place the longest factor of any one reference, so it needs every place at
+which a reference holds a block: on the 10,000 documents of the largest test table 90,067 of 323,505 block places are repeated, and
+they make 8.7 million pairs of place and reference (a block occurs up to 1,935 times), which grow with the square of a group of
+copies. The answer here does not depend on which document a factor is copied from, only on whether one holds it. So a factor may change
+its source from window to window, and one earlier owner of each block is enough:
+
+* the reference is indexed in blocks: the stretch of text whose windows share one representative gram (see ``repeats``), so
+  that a block equals another one wherever the text is the same, whatever came before it; its first owner is a minimum;
+* a block that an earlier document owns extends a factor as a whole;
+* where blocks part, which is where factors end, single windows are looked up: a factor ends at exactly the last repeated word.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stampbook.llm.common import tidy
 from stampbook.llm.repeats import NO_ID, Windows, covered, keyed, repeated_spans
 from stampbook.llm.textbytes import Words, buffer
 
@@ -54,6 +59,7 @@ def remove_copied_words(docs: DataFrame, window: int = 50, gram: int = 25, keep_
     return found.mapInArrow(finish, SCHEMA)
 
 
+@tidy
 def op8_relative_lz(spark, folder: str) -> DataFrame:
     """The whole of documents, at 50 words."""
     return remove_copied_words(spark.read.parquet(f"{folder}/documents.parquet"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
