@@ -67,18 +67,18 @@ def assign_rows(boxes: Column, level: str, tolerance: Column, descending: bool,
         F.array_sort(F.transform(boxes, lambda b: F.struct((b[level] * sign).alias("k"), b["i"].alias("i"), b.alias("b")))),
         lambda x: x["b"],
     )
-    empty = F.slice(F.transform(boxes, lambda b: b.withField("fila", F.lit(0))), 1, 0)
-    start = F.struct(
-        F.lit(0).alias("fila"), F.lit(None).cast("double").alias("anchor"), tolerance.cast("double").alias("tol"), empty.alias("out")
-    )
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), tolerance.cast("double").alias("tol"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("starts"))
 
-    def step(acc: Column, b: Column) -> Column:
-        value = b[reference].cast("double")
+    def step(acc: Column, value: Column) -> Column:
         joins = acc["anchor"].isNotNull() & (F.abs(value - acc["anchor"]) <= acc["tol"])
-        row = F.when(joins, acc["fila"]).otherwise(acc["fila"] + 1)
         return F.struct(
-            row.alias("fila"), F.when(joins, acc["anchor"]).otherwise(value).alias("anchor"), acc["tol"].alias("tol"),
-            F.concat(acc["out"], F.array(b.withField("fila", row))).alias("out"),
+            F.when(joins, acc["anchor"]).otherwise(value).alias("anchor"), acc["tol"].alias("tol"), (acc["k"] + 1).alias("k"),
+            F.when(joins, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["k"]))).alias("starts"),
         )
 
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+    # the fold carries where rows start, not the boxes, so that its state grows with the rows only
+    def numbered(both: Column) -> Column:
+        return F.transform(both["b"], lambda b, i: b.withField("fila", F.size(F.filter(both["s"], lambda s: s <= i))))
+
+    starts = F.aggregate(F.transform(ordered, lambda b: b[reference].cast("double")), start, step, lambda acc: acc["starts"])
+    return let(F.struct(ordered.alias("b"), starts.alias("s")), numbered)

@@ -238,6 +238,19 @@ def companions(marks: DataFrame, requested: DataFrame) -> DataFrame:
     )
 
 
+def companion_groups(marks: DataFrame, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(membership, members): the operation of each requested mark, and each such operation's marks once, dominant first.
+
+    What ``companions`` lists for every requested mark apart, without a row for each pair: a mark's companions are the members of
+    its operation but itself.
+    """
+    asked = requested.select(F.col("codigo").alias("codigo_pedido")).distinct()
+    mine = marks.select(F.col("codigo").alias("codigo_pedido"), "operacion_id").where(F.col("operacion_id").isNotNull())
+    of = mine.join(asked, "codigo_pedido", "left_semi")
+    members = marks.join(of.select("operacion_id").distinct(), "operacion_id", "left_semi")
+    return of, members.withColumn("dominante_primero", F.when(F.col("tipo") == "dominante", 0).otherwise(1))
+
+
 def history(versions: DataFrame, users: DataFrame) -> DataFrame:
     """Stored versions with the user's name and presence flags; ``version_n`` 1 is the newest of its mark."""
     light = versions.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stampbook.functions.folds import assign_rows, half_median, half_true_median, longest_regular_run
+from stampbook.functions.folds import assign_rows, half_median, half_true_median, let, longest_regular_run
 from stampbook.operators.ordering import Key, all_small, null_safe_join, ranked, scan, split
 from stampbook.schemas import ANEXO, COPIAS, PRINCIPAL
 
@@ -116,35 +116,27 @@ def reading_order(
     tol = F.lit(float(tolerance)) if tolerance is not None else (half_true_median if centres else half_median)(heights)
     rows = assign_rows(b, "y", tol, y_up, "ref" if centres else None)
     by_x = F.array_sort(F.transform(rows, lambda r: F.struct(r["fila"], r["x"].alias("x"), r["i"].alias("i"), r.alias("r"))))
-    first = F.aggregate(
-        by_x, F.struct(F.lit(0).alias("fila"), F.lit(0).alias("col"), F.slice(F.transform(by_x, lambda r: r["r"].withField("columna", F.lit(0))), 1, 0).alias("out")),
-        lambda acc, r: _place(acc, r), lambda acc: acc["out"],
-    )
+    def placed(both: Column) -> Column:  # a row's boxes follow each other: the place in the row counts from its first box
+        return F.transform(both["b"], lambda r, k: r["r"].withField("columna", (k + 2 - F.array_position(both["f"], r["fila"])).cast("int")))
+
+    first = let(by_x, lambda b: let(F.struct(b.alias("b"), F.transform(b, lambda r: r["fila"]).alias("f")), placed))
     keep = [c for c in pages.columns if c != boxes]
     return pages.select(*keep, F.explode(first).alias("_b")).select(*keep, "_b.*").drop("i", "ref")
 
 
-def _place(acc: Column, r: Column) -> Column:
-    col = F.when(r["fila"] == acc["fila"], acc["col"] + 1).otherwise(F.lit(1))
-    return F.struct(
-        r["fila"].alias("fila"), col.alias("col"),
-        F.concat(acc["out"], F.array(r["r"].withField("columna", col))).alias("out"),
-    )
-
-
 def ordered_text(pages: DataFrame, pieces: str = "piezas", tolerance: float = 4.0) -> DataFrame:
     """``texto``: the page's text pieces ``(x, y, texto)`` joined line by line, top to bottom, left to right."""
     p = _indexed(F.filter(F.transform(F.col(pieces), lambda b: b.withField("texto", F.trim(b["texto"]))), lambda b: b["texto"] != ""))
     rows = assign_rows(p, "y", F.lit(float(tolerance)), True)
     by_x = F.array_sort(F.transform(rows, lambda r: F.struct(r["fila"], r["x"].alias("x"), r["i"].alias("i"), r["texto"].alias("t"))))
-    text = F.aggregate(
-        by_x, F.struct(F.lit(0).alias("fila"), F.lit("").alias("out")),
-        lambda acc, r: F.struct(
-            r["fila"].alias("fila"),
-            F.concat(acc["out"], F.when(acc["fila"] == 0, "").when(acc["fila"] == r["fila"], " ").otherwise("\n"), r["t"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def told(pieces: Column) -> Column:
+        def after(r: Column, k: Column) -> Column:
+            return F.when(k == 0, "").when(F.get(pieces, k - 1)["fila"] == r["fila"], " ").otherwise("\n")
+
+        return F.array_join(F.transform(pieces, lambda r, k: F.concat(after(r, k), r["t"])), "")
+
+    text = let(by_x, told)
     return pages.withColumn("texto", text)
 
 

@@ -367,6 +367,16 @@ def _(t):
     return rel.companions(t.marcas, asked).select("codigo_pedido", "codigo", "tipo", "posicion", "dominante_primero")
 
 
+@query("o6_companion_groups", w("marcas", """
+    SELECT 'miembro' AS parte, operacion_id, codigo, CASE WHEN tipo = 'dominante' THEN 0 ELSE 1 END AS dominante_primero FROM marcas WHERE operacion_id IS NOT NULL
+    UNION ALL SELECT 'pedido', operacion_id, codigo, NULL FROM marcas WHERE operacion_id IS NOT NULL"""))
+def _(t):
+    of, members = rel.companion_groups(t.marcas, t.marcas)  # every mark is asked for
+    columns = ["parte", "operacion_id", "codigo", "dominante_primero"]
+    asked = of.select(F.lit("pedido").alias("parte"), "operacion_id", F.col("codigo_pedido").alias("codigo"), F.lit(None).cast("int").alias("dominante_primero"))
+    return members.withColumn("parte", F.lit("miembro")).select(columns).unionByName(asked)
+
+
 _VERSIONS = """
     , v AS (SELECT event_id AS id, user_id AS marca_id, CASE WHEN event_type = 'error' THEN 'restauracion' ELSE 'reemplazo' END AS motivo,
         ts AS creado_en, user_id % 10 AS creado_por, CASE WHEN value > 20 THEN 'x' ELSE NULL END AS archivo_png,

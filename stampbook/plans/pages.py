@@ -244,6 +244,27 @@ _SLOTS = """
       cola AS (SELECT operacion_id AS doc, codigo AS item, row_number() OVER (PARTITION BY operacion_id ORDER BY codigo) AS k FROM marcas WHERE estado = 'activa')"""
 
 
+@query("o5_ordered_text", """
+    WITH RECURSIVE b AS (SELECT vec_id AS id, k AS caja, CAST(round(embedding[k] * 1000) AS BIGINT) AS x,
+        CAST(round(embedding[k + 32] * 1000) AS BIGINT) AS y FROM embeddings CROSS JOIN range(1, 33) r(k)),
+      s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY y DESC, caja) AS n FROM b),
+      f AS (SELECT id, caja, x, y, n, y AS ancla, 1 AS fila FROM s WHERE n = 1
+        UNION ALL SELECT s.id, s.caja, s.x, s.y, s.n, CASE WHEN abs(s.y - f.ancla) <= 20 THEN f.ancla ELSE s.y END,
+          CASE WHEN abs(s.y - f.ancla) <= 20 THEN f.fila ELSE f.fila + 1 END FROM f JOIN s ON s.id = f.id AND s.n = f.n + 1)
+    SELECT id, string_agg(linea, chr(10) ORDER BY fila) AS texto FROM (SELECT id, fila, string_agg('t' || caja, ' ' ORDER BY x, caja) AS linea FROM f GROUP BY 1, 2) GROUP BY 1""")
+def _(t):
+    v = t.raw("embeddings")
+    piece = F.transform(
+        F.sequence(F.lit(1), F.lit(32)),
+        lambda k: F.struct(
+            F.round(F.element_at("embedding", k).cast("double") * 1000).cast("long").alias("x"),
+            F.round(F.element_at("embedding", k + 32).cast("double") * 1000).cast("long").alias("y"),
+            F.concat(F.lit(" t"), k.cast("string"), F.lit(" ")).alias("texto"),
+        ),
+    )
+    return sequence.ordered_text(v.select(F.col("vec_id").alias("id"), piece.alias("piezas")), tolerance=20.0).select("id", "texto")
+
+
 @query("o8_allocate", w("marcas", _SLOTS + """
     SELECT cola.doc, cola.item, s.copia, s.orden, s.slot FROM cola JOIN sitio s ON s.doc = cola.doc AND s.k = cola.k
     UNION ALL SELECT cola.doc, cola.item, 'sobra', NULL, NULL FROM cola LEFT JOIN (SELECT doc, max(hasta) AS n FROM acum GROUP BY 1) a USING (doc)

@@ -123,6 +123,15 @@ def test_reading_order_and_text(spark):
     assert sorted((r.fila, r.columna) for r in sequence.reading_order(down, y_up=False, centres=True).collect()) == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_a_page_of_20000_boxes(spark):
+    made = spark.range(1).selectExpr("transform(sequence(0, 19999), i -> named_struct('x', double((i * 7919) % 20000), 'y', double(i div 100 * 30 + i % 3), 'w', 1D, 'h', 10D)) AS cajas", "1 AS page")
+    rows = sequence.reading_order(made).selectExpr("fila", "columna", "x", "y").collect()
+    assert len(rows) == 20_000 and {(r.fila, r.columna) for r in rows} == {(f, c) for f in range(1, 201) for c in range(1, 101)}
+    assert all(r.fila == 200 - int(r.y) // 30 for r in rows)
+    first = sorted((r for r in rows if r.fila == 1), key=lambda r: r.columna)
+    assert [r.x for r in first] == sorted(r.x for r in first)
+
+
 def test_code_overrides(spark):
     cells = spark.createDataFrame([("h01", 1, 1), ("h01", 1, 2)], "hoja string, fila int, columna int")
     listed = spark.createDataFrame([("h01 ", 1, 2, " M-7 ")], "hoja string, fila int, columna int, codigo string")
