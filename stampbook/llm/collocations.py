@@ -166,15 +166,21 @@ def counted(docs: DataFrame, least: int, max_words: int = MAX_WORDS) -> tuple[Da
     every = written(rows.mapInArrow(_word_counts, "w1 long, lang string, word string, c long").groupBy("w1", "lang", "word").agg(F.sum("c").alias("c")), "words")
     totals = written(every.groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     frequent = every.where(F.col("c") >= least)
-    names = [f"w{i + 1}" for i in range(max_words)]
 
     def phrases(sizes: range, of: DataFrame, part: int) -> DataFrame:
+        """Frequent phrases. The tasks send sums for each ``GATHERED`` windows, dealt by phrase as they are: a further hash
+        aggregation before the shuffle would hold a task's phrases once more."""
+        names = [f"w{i + 1}" for i in range(sizes[-1])]
         schema = ", ".join(["words int", *[f"{c} long" for c in names], "c long"])
-        found = rows.mapInArrow(_phrase_counts(sizes, filter_of(of, part), part, max_words), schema)
-        return written(found.groupBy("words", *names).agg(F.sum("c").alias("c")).where(F.col("c") >= least), "phrases")
+        found = rows.mapInArrow(_phrase_counts(sizes, filter_of(of, part), part, sizes[-1]), schema)
+        keys = names if len(sizes) == 1 else ["words", *names]
+        sums = found.select(*keys, "c").repartition(*keys).groupBy(*keys).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        kept = written(sums, "phrases")
+        lacking = [F.lit(None).cast("long").alias(f"w{i + 1}") for i in range(sizes[-1], max_words)]
+        return kept.select(F.col("words") if len(sizes) > 1 else F.lit(sizes[0]).alias("words"), *names, *lacking, "c")
 
     pairs = phrases(range(2, 3), frequent, 1)
-    return totals, frequent, pairs.unionByName(phrases(range(3, max_words + 1), pairs, 2))
+    return totals, frequent, pairs.unionByName(phrases(range(3, max_words + 1), pairs, 2)) if max_words > 2 else pairs
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80) -> DataFrame:
